@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, near, packing, quality, tokenfile
 
 
 def queries() -> dict:
-    return {"op1_bpe": bpe.op1_bpe}
+    return {
+        "op1_bpe": bpe.op1_bpe,
+        "op2_packing": packing.op2_packing,
+        "op5_quality": quality.op5_quality,
+        "op8_near": near.op8_near,
+        "op9_token_files": tokenfile.op9_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
