@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, near, packing, quality, tokenfile
+from . import bpe, chat, counts, near, packing, pii, quality, syncmers, tokenfile, urls
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_packing": packing.op2_packing,
+        "op3_pii": pii.op3_pii,
+        "op4_syncmers": syncmers.op4_syncmers,
         "op5_quality": quality.op5_quality,
+        "op6_counts": counts.op6_counts,
+        "op7_urls": urls.op7_urls,
         "op8_near": near.op8_near,
         "op9_token_files": tokenfile.op9_token_files,
+        "op10_chat": chat.op10_chat,
     }
 
 
