@@ -1,0 +1,78 @@
+import random
+import re
+
+from deltaloom.llm import pii
+
+from .tables import clashing, documents, frame
+
+TEXT = 'Write to anna.li@mail3.example.com or 10.20.30.4, call +1 (017) 555-7713, card 4111 1111 1111 1111, no 4952935900253052, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962", Mrs Smith and Herr Müller, Frau Иванова, 078-05-1120, DE89 3704 0044 0532 0130 00.'
+
+
+def test_all_kinds_are_found():
+    assert [k for *_, k in pii.find_entities(TEXT)] == ["email", "ip", "phone", "number", "number", "secret", "name", "name", "name", "ssn", "iban"]
+
+
+def test_clean_text_is_left_alone():
+    clean = "In 2024 we sold 1,234 units at 3.14 each, version 1.2.3, see section 4.5. Dr who? token of thanks: yes."
+    assert pii.replaced(clean, b"k", {}) == (clean, 0)
+
+
+def test_format_stays():
+    new, n = pii.replaced(TEXT, b"k", {})
+    assert n == 11 and len(new.split()) == len(TEXT.split())
+    shape = lambda s: re.sub(r"[^\W\d_]", "a", re.sub(r"\d+", "0", s))
+    assert shape(pii.surrogate("phone", "+1 (017) 555-7713")) == shape("+1 (017) 555-7713")
+    assert pii.surrogate("name", "Иванова")[-1] == "а" and re.fullmatch("[А-Я][а-я]{6}", pii.surrogate("name", "Иванова"))
+    for a, b, k in pii.find_entities(TEXT):
+        assert TEXT[a:b] not in new, k
+    digits = lambda s: [int(c) for c in s if c.isdigit()]
+    for value in ("4111 1111 1111 1111", "4952935900253052"):
+        assert pii.luhn(digits(pii.surrogate("number", value))) == pii.luhn(digits(value))
+    assert all(0 <= int(o) <= 255 for o in pii.surrogate("ip", "10.20.30.4").split("."))
+
+
+def test_the_cipher_is_a_bijection():
+    for kind, values in {
+        "ssn": [f"{i:03}-12-3456" for i in range(1000)],
+        "name": [f"{a}{b}a" for a in "BCDF" for b in "aeiou"],
+        "number": [f"49529359002{i:05}" for i in range(3000)],
+        "ip": [f"10.0.{i}.{j}" for i in range(30) for j in range(30)],
+        "email": [f"ab{i}@mail{j}.example.com" for i in range(10) for j in range(10)],
+    }.items():
+        assert len({pii.surrogate(kind, v, b"k") for v in values}) == len(values)
+        assert {pii.surrogate(kind, v, b"k") for v in values} != {pii.surrogate(kind, v, b"other") for v in values}
+    for n in (1, 2, 3):
+        radices = [3, 5, 2][:n]
+        every = [[]]
+        for r in radices:
+            every = [[*e, x] for e in every for x in range(r)]
+        assert sorted(pii.feistel(e, radices, b"k", b"t") for e in every) == sorted(every)
+
+
+def crowded():
+    """Documents whose entities crowd a small space, so that surrogates meet real ones."""
+    rng = random.Random(2)
+    names = sorted({f"{rng.choice('BCDF')}{rng.choice('aeiou')}{rng.choice('bcdf')}a" for _ in range(200)})
+    return [(i, f"Mrs {n} met Mrs {names[(i + 1) % len(names)]} today", "en", "s", 0) for i, n in enumerate(names)], names
+
+
+def test_conflicts_are_settled(spark, monkeypatch):
+    rows, names = crowded()
+    df = frame(spark, rows)
+    first = {r["doc_id"]: r["text"] for r in pii.replace_entities(df, b"k").collect()}
+    given = {}
+    for i, t, *_ in rows:
+        for old, new in zip(re.findall(r"Mrs (\w+)", t), re.findall(r"Mrs (\w+)", first[i]), strict=True):
+            assert given.setdefault(old, new) == new
+    assert len(set(given.values())) == len(names) and not set(given.values()) & set(names)
+    monkeypatch.setattr(pii, "BROADCAST_EXCEPTIONS", 0)
+    assert {r["doc_id"]: r["text"] for r in pii.replace_entities(df, b"k").collect()} == first
+
+
+def test_rows_and_columns_stay(spark):
+    df = clashing(frame(spark, documents()))
+    out = pii.replace_entities(df, count_as="found")
+    assert out.columns == [*df.columns, "found"]
+    want = sorted(str(r["doc_id"]) + str(pii.replaced(r["text"], pii.DEMO_KEY, {})[0]) for r in df.collect())
+    assert sorted(str(r["doc_id"]) + str(r["text"]) for r in out.collect()) == want
+    assert pii.replace_entities(frame(spark, [])).count() == 0
