@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
-from ..operators import align, coding, fields, match, pages, pairs, walk
+from ..operators import align, coding, delta, fields, match, pages, pairs, walk
 from ..sources import images
 from . import inputs as I
 
@@ -397,11 +397,44 @@ def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy(tag.alias("tag")).agg(F.count("*").alias("pairs"), F.sum("from_size").alias("from_bytes"), F.sum("to_size").alias("to_bytes"), F.max("to_size").alias("largest"))
 
 
+@query("SELECT user_id, CAST(event_id // 256 AS BIGINT) AS page, count(*) AS writes FROM events GROUP BY ALL")
+def stream_page_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events streamed as page writes; each page comes out once, when the frontier has passed it."""
+    from ..streaming import pages as stream
+
+    return stream.replay(spark, sf_dir)
+
+
 @query()
 def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.summary(_pairs(spark, sf_dir))
 
 
+@query()
+def delta_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest patch of every pair, over all plans."""
+    made = delta.encode_pairs(_pairs(spark, sf_dir))
+    return made.select("pair_id", F.octet_length("blob").cast("long").alias("patch_size"), F.crc32("blob").alias("patch_crc"), "plan", "descending", "literalised")
+
+
+@query(f"WITH {I.PAIRS_SQL} SELECT pair_id, nf AS from_size, nt AS to_size, 'NONE' AS status, true AS whole, 'ok' AS gate FROM pairs")
+def delta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair's patch made (by one plan), and applied again page by page: the target must come back, written safely."""
+    made = delta.encode_pairs(_pairs(spark, sf_dir), quick=True, keep=("f", "t"))
+    done = delta.apply_patches(made, keep=("f", "t"))
+    gate = pages.write_gate(done.withColumn("outside", F.lit(0)).withColumn("misaligned", F.lit(0)))
+    return gate.select("pair_id", F.octet_length("f").cast("long").alias("from_size"), F.octet_length("t").cast("long").alias("to_size"), "status", (F.col("out") == F.col("t")).alias("whole"), "gate")
+
+
+@query(f"""WITH {I.PAIRS_SQL}, d AS (SELECT unnest(['none', 'cut', 'tail', 'revision', 'source']) AS damage)
+ SELECT damage, CASE WHEN damage = 'none' THEN 'NONE' ELSE 'CORRUPT' END AS status, count(*) AS patches FROM pairs, d WHERE nf > 0 GROUP BY damage""")
+def reject_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged patches and wrong sources are refused, each before the image is taken for done."""
+    rows = delta.damaged(delta.encode_pairs(_pairs(spark, sf_dir), quick=True, keep=("f",)))
+    done = delta.apply_patches(rows, keep=("damage",))
+    return done.groupBy("damage", "status").agg(F.count("*").alias("patches"))
+
+
 def queries() -> dict:
     return QUERIES
 
