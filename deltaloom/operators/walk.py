@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
-from ..sources.images import positions
 
 
 def op_walk(ops: DataFrame, key: str, order: str, fp_start: Column | int = 0) -> DataFrame:
@@ -38,12 +37,27 @@ def fold_seeks(ops: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def hazard_runs(walked: DataFrame) -> DataFrame:
-    """``walked`` (with from_size, to_size, forward) with runs: array of (begin, end) of copies that would read what was overwritten."""
-    n = F.col("diff_len").cast("int")
-    bad = lambda k: bits.copy_hazard(F.col("fp") + k, F.col("tp") + k, F.col("from_size"), F.col("to_size"), F.col("forward"))
-    begins = F.filter(positions(n), lambda k: bad(k) & ((k == 0) | ~bad(k - 1)))
-    ends = F.filter(positions(n), lambda k: bad(k) & ((k == n - 1) | ~bad(k + 1)))
-    return walked.withColumn("runs", F.zip_with(begins, ends, lambda a, b: F.struct(a.cast("long").alias("begin"), (b + 1).cast("long").alias("end"))))
+    """``walked`` (with from_size, to_size, forward) with runs: array of (begin, end) of copies that would read what was overwritten.
+
+    Source and target stand a fixed distance apart within a copy. Up to a page apart nothing is
+    committed yet, from two pages on everything is; between, a run at one end of each target page
+    is. So runs are made page by page, not byte by byte.
+    """
+    page = bits.PAGE
+    low = F.greatest(F.lit(0).cast("long"), -F.col("fp"))
+    high = F.least(F.col("diff_len"), F.least("from_size", "to_size") - F.col("fp"))
+    apart = F.when(F.col("forward"), F.col("tp") - F.col("fp")).otherwise(F.col("fp") - F.col("tp"))
+    found = walked.withColumns({"h_low": low, "h_high": high, "h_apart": apart})
+    run = lambda b, e: F.struct(b.cast("long").alias("begin"), e.cast("long").alias("end"))
+    edge = F.col("h_apart") - page
+    begin = lambda p: p * page + F.when(F.col("forward"), 0).otherwise(page - edge)
+    inside = lambda x: F.least(F.greatest(x - F.col("tp"), F.col("h_low")), F.col("h_high"))
+    numbers = F.sequence(bits.page_number(F.col("tp") + F.col("h_low")), bits.page_number(F.col("tp") + F.col("h_high") - 1))
+    by_page = F.filter(F.transform(numbers, lambda p: run(inside(begin(p)), inside(begin(p) + edge))), lambda r: r["begin"] < r["end"])
+    none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+    some = F.col("h_low") < F.col("h_high")
+    runs = F.when(some & (F.col("h_apart") >= 2 * page), F.array(run(F.col("h_low"), F.col("h_high")))).when(some & (F.col("h_apart") > page), by_page).otherwise(none)
+    return found.withColumn("runs", runs).drop("h_low", "h_high", "h_apart")
 
 
 def literalised(walked: DataFrame, key: str, order: str) -> DataFrame:
