@@ -28,6 +28,7 @@ UNIT_CHARS = 12
 _SOLID = r"฀-໿က-႟ក-៿⺀-鿿豈-﫿"
 _UNIT = rf"[{_SOLID}]|[^\s{_SOLID}]{{1,{UNIT_CHARS}}}"
 _FIRST = -(1 << 63)
+_LOW = 0xFFFFFFFF
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -35,24 +36,35 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def anchors(text: Column, k: int = K) -> Column:
-    """array<struct<at int, hash int>> of the closed syncmers of a text, in order."""
+def packed_anchors(text: Column, k: int = K) -> Column:
+    """array<bigint> of the closed syncmers of a text, in order: the place times 2^32, plus the hash as unsigned."""
     units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_UNIT), F.lit(0))
+    pack = lambda at, h: at.cast("long") * F.lit(1 << 32) + h.cast("long").bitwiseAND(F.lit(_LOW))
 
     def of(h: Column) -> Column:
         n = F.size(h)
         edge = lambda i: _let(F.array_min(F.slice(h, i, k)), lambda m: (F.get(h, i - 1) == m) | (F.get(h, i + k - 2) == m))
         chosen = F.filter(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), edge)
-        found = F.transform(chosen, lambda i: F.struct((i - 1).alias("at"), F.hash(F.slice(h, i, k)).alias("hash")))
-        whole = F.array(F.struct(F.lit(0).alias("at"), F.hash(h).alias("hash")))
-        return F.when(n >= k, found).when(n > 0, whole).otherwise(F.slice(whole, 1, 0))
+        found = F.transform(chosen, lambda i: pack(i - 1, F.hash(F.slice(h, i, k))))
+        whole = F.array(pack(F.lit(0), F.hash(h)))
+        return F.when(n >= k, found).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
     return _let(F.transform(units, lambda u: F.xxhash64(u)), of)
 
 
-def fingerprint(found: Column) -> Column:
-    """Anchors as text: place:hash, joined by commas."""
-    return F.array_join(F.transform(found, lambda a: F.concat(a["at"].cast("string"), F.lit(":"), F.lower(F.hex(a["hash"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))), ",")
+def anchors(text: Column, k: int = K) -> Column:
+    """array<struct<at int, hash int>> of the closed syncmers of a text, in order."""
+    return F.transform(packed_anchors(text, k), lambda a: F.struct(F.shiftright(a, 32).cast("int").alias("at"), _signed(a).alias("hash")))
+
+
+def _signed(a: Column) -> Column:
+    low = a.bitwiseAND(F.lit(_LOW))
+    return F.when(low > 0x7FFFFFFF, low - (1 << 32)).otherwise(low).cast("int")
+
+
+def fingerprint(packed: Column) -> Column:
+    """Packed anchors as text: place:hash, joined by commas."""
+    return F.array_join(F.transform(packed, lambda a: F.concat(F.shiftright(a, 32).cast("string"), F.lit(":"), F.lower(F.hex(a.bitwiseAND(F.lit(_LOW)))))), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -61,8 +73,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / F.greatest(both, F.lit(1)))
 
 
-def distinct_hashes(found: Column) -> Column:
-    return F.array_distinct(F.transform(found, lambda a: a["hash"]))
+def distinct_hashes(packed: Column) -> Column:
+    return F.array_distinct(F.transform(packed, lambda a: a.bitwiseAND(F.lit(_LOW))))
 
 
 def match_anchors(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -104,19 +116,19 @@ def with_next(docs: DataFrame, columns: list[str], parts: int | None = None) ->
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """(doc_id, anchors, fingerprint) for each row; no shuffle."""
     docs = pick(docs, doc_id=id_col, text=text_col)
-    return docs.select("doc_id", anchors(F.col("text"), k).alias("anchors")).withColumn("fingerprint", fingerprint(F.col("anchors")))
+    return docs.select("doc_id", anchors(F.col("text"), k).alias("anchors"), fingerprint(packed_anchors(F.col("text"), k)).alias("fingerprint"))
 
 
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, its edited text's, and likenesses."""
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text").withColumn("text", F.coalesce("text", F.lit("")))
-    own = docs.withColumn("found", anchors(F.col("text")))
+    own = docs.withColumn("found", packed_anchors(F.col("text")))
     met = with_next(own, ["text", "found"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     met = met.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "found", distinct_hashes(F.col("found")).alias("own"), distinct_hashes(F.col("next_found")).alias("after"))
-    met = met.withColumn("edited_found", anchors(F.col("edited")))
+    met = met.withColumn("edited_found", packed_anchors(F.col("edited")))
     return met.select(
         "doc_id",
         "n_chars",
