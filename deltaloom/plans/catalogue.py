@@ -42,7 +42,21 @@ def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("kind", "image_id", n.alias("size"), images.page_count(n).alias("pages"), bits.page_round_up(n).alias("rounded"))
 
 
-@query()
+def _crc_table() -> list[int]:
+    table = list(range(256))
+    for _ in range(8):
+        table = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    return table
+
+
+def _crc(h: str) -> str:
+    """CRC-32 of a hexadecimal column, in SQL."""
+    return f"""xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all({h}, '..')]),
+ lambda c, b: xor(c >> 8, CAST(({_crc_table()})[(xor(c, b) & 255) + 1] AS BIGINT))))"""
+
+
+@query(f"""WITH i AS (SELECT 'document' AS kind, doc_id AS image_id, hex(encode(coalesce(text, ''))) AS h FROM documents UNION ALL SELECT 'page', page_id, hex(encode(coalesce(html, ''))) FROM pages),
+ c AS (SELECT kind, image_id, {_crc('h')} AS crc FROM i) SELECT kind, image_id, crc, xor(crc, CAST(1 AS BIGINT)) AS wire_crc FROM c""")
 def image_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = images.document_images(spark, sf_dir).unionByName(images.page_images(spark, sf_dir))
     return both.select("kind", "image_id", F.crc32("content").alias("crc"), bits.wire_crc(F.col("content")).alias("wire_crc"))
@@ -405,7 +419,9 @@ def stream_page_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.replay(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH {_RUNS.replace(' QUALIFY d', '')}, per AS (SELECT pair_id, count(*) FILTER (WHERE fv <> tv) AS diff_bytes, max(run) AS n_runs FROM starts GROUP BY pair_id)
+ SELECT pairs.pair_id, nf AS from_size, nt AS to_size, {_crc('fh')} AS from_crc, {_crc('th')} AS to_crc, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(coalesce(diff_bytes, 0) AS BIGINT) AS diff_bytes,
+ nt - least(nf, nt) AS extra_len FROM pairs LEFT JOIN per USING (pair_id)""")
 def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.summary(_pairs(spark, sf_dir))
 
