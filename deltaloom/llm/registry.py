@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, counts, near, packing, pii, quality, syncmers, tokenfile, urls
+from . import bpe, chat, counts, near, oracles, packing, pii, quality, syncmers, tokenfile, urls
 
 
 def queries() -> dict:
@@ -21,4 +21,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the two that SQL can express; the others rest on byte-pair ids, ciphers or hash functions that it lacks."""
+    return {"op5_quality": oracles.op5(), "op8_near": oracles.op8()}
