@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import pick, table, tune, workers_threads
+from ._common import pick, spread, table, tune, workers_threads
 from .tokens import byte_chars, ids_column, texts, vocabulary
 
 #: Text chunks whose ids a worker keeps; beyond that the cache starts anew.
@@ -236,7 +236,7 @@ def coder(path: str) -> BpeCoder:
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) for each row; no shuffle, a task keeps one Arrow batch."""
-    docs = pick(docs, doc_id=id_col, text=text_col)
+    docs = spread(pick(docs, doc_id=id_col, text=text_col))
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import file_system, pick, scratch_dir, table, tune, written
+from ._common import file_system, pick, scratch_dir, spread, table, tune, written
 from .tokens import encoder, texts, vocabulary
 
 KEYS = ("source", "lang", "version")
@@ -97,7 +97,7 @@ class Rollup:
 
 def count_tokens(docs: DataFrame, versions: dict[str, str]) -> DataFrame:
     """(doc_id, source, lang, chars, n_<version>, stripped_<version>) for each row: ids of the text, and of it without outer white space."""
-    docs = pick(docs, doc_id="doc_id", text="text", source="source", lang="lang")
+    docs = spread(pick(docs, doc_id="doc_id", text="text", source="source", lang="lang"))
     tune(docs.sparkSession)
     names = [f"{k}_{v}" for v in versions for k in ("n", "stripped")]
 

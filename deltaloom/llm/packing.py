@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import pick, table, tune, written
+from ._common import pick, spread, table, tune, written
 from .tokens import crc32, encoder, ids_column, texts, vocabulary
 
 CAPACITY = 2048
@@ -33,7 +33,7 @@ CELL = 4096
 
 def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]) for each piece of each document; no shuffle."""
-    docs = pick(docs, doc_id=id_col, text=text_col)
+    docs = spread(pick(docs, doc_id=id_col, text=text_col))
     tune(docs.sparkSession)
     end = np.asarray([end_id], "<i4").tobytes()
     key = docs.schema["doc_id"].dataType.simpleString()

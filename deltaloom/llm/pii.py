@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import pick, table, tune, written
+from ._common import pick, spread, table, tune, written
 
 #: A key for tests and queries; give your own, and keep it secret.
 DEMO_KEY = b"deltaloom demonstration key"
@@ -192,7 +192,7 @@ def replaced(text: str | None, key: bytes, attempts: dict[tuple[str, str], int])
 def corpus_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(kind, value), each once: what a batch repeats is dropped before the shuffle."""
     tune(docs.sparkSession)
-    docs = pick(docs, text=text_col)
+    docs = spread(pick(docs, text=text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -280,7 +280,7 @@ def replace_entities(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "te
     at = names.index(text_col) if text_col in names else next(i for i, c in enumerate(names) if c.lower() == text_col.lower())
     tune(docs.sparkSession)
     found = exceptions(corpus_entities(docs, text_col), key)
-    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    rows = spread(docs.toDF(*[f"c{i}" for i in range(len(names))]))
     few = found.limit(BROADCAST_EXCEPTIONS + 1).count() <= BROADCAST_EXCEPTIONS
     if few:
         done = _replace_rows(rows, at, key, {(r["kind"], r["value"]): r["attempt"] for r in found.collect()})

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import pick, table, tune, written
+from ._common import pick, spread, table, tune, written
 
 _SPACE = b" \t\n\r\x0b\x0c"
 _NOT_START = bytes(range(0x80, 0xC0))
@@ -63,7 +63,7 @@ def measure_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The columns are named m_doc_id, m_host and m_<count>.
     """
     tune(docs.sparkSession)
-    chosen = pick(docs, m_doc_id=id_col, m_host=host_col, m_text=text_col)
+    chosen = spread(pick(docs, m_doc_id=id_col, m_host=host_col, m_text=text_col))
     chosen = chosen.select("m_doc_id", F.coalesce(F.col("m_host").cast("string"), F.lit("")).alias("m_host"), F.coalesce(F.col("m_text"), F.lit("")).cast("binary").alias("m_text"))
     counts = ", ".join(f"m_{c} long" for c in COUNTS)
     if keep:
@@ -83,7 +83,7 @@ def _measured_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -
     names = docs.columns
     index = lambda name: next((i for i, c in enumerate(names) if c == name), None) if name in names else next(i for i, c in enumerate(names) if c.lower() == name.lower())
     at, host = index(text_col), index(host_col)
-    raw = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    raw = spread(docs.toDF(*[f"c{i}" for i in range(len(names))]))
     raw = raw.withColumn("m_host", F.coalesce(F.col(f"c{host}").cast("string"), F.lit("")))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in raw.schema.fields)
     width = len(raw.columns)
