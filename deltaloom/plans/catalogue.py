@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bits
 from ..operators import align, coding, delta, fields, match, pages, pairs, walk
 from ..sources import images
+from ..sources.spread import spread
 from . import inputs as I
 
 QUERIES: dict = {}
@@ -71,7 +72,7 @@ _SPINE = """spine AS (SELECT lang, p.parity, v.v FROM (SELECT DISTINCT lang FROM
 
 
 def _by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.documents(spark, sf_dir).select("lang", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    return spread(images.documents(spark, sf_dir).select("lang", "text")).select("lang", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
 
 
 @query(f"WITH {_SPINE} SELECT * FROM hist")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bits import MAX_IMAGE, PAGE
+from .spread import spread
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -22,6 +23,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 def text_images(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:
     """(kind, image_id, content) of a text column's UTF-8 bytes."""
+    df = spread(df.select(key, text))
     return df.select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("image_id"), F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("content"))
 
 
