@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import pick, table
+from ._common import pick, spread, table
 
 K = 5
 UNIT_CHARS = 12
@@ -121,7 +121,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, its edited text's, and likenesses."""
-    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text").withColumn("text", F.coalesce("text", F.lit("")))
+    docs = spread(pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")).withColumn("text", F.coalesce("text", F.lit("")))
     own = docs.withColumn("found", packed_anchors(F.col("text")))
     met = with_next(own, ["text", "found"])
     n = F.length("text")

@@ -12,6 +12,12 @@ def test_all_kinds_are_found():
     assert [k for *_, k in pii.find_entities(TEXT)] == ["email", "ip", "phone", "number", "number", "secret", "name", "name", "name", "ssn", "iban"]
 
 
+def test_numbers_beside_punctuation():
+    for text in ("card-4952935900253052-", "(4952935900253052).", "4952935900253052 4952935900253052", "no:4952935900253052,", "x+4952935900253052", "IP 10.20.30.4. Mail a.b@mail3.example.com."):
+        new, n = pii.replaced(text, b"k", {})
+        assert n == len(re.findall(r"4952935900253052|10\.20\.30\.4|@", text)) and "4952935900253052" not in new and "10.20.30.4" not in new and "a.b@mail3" not in new
+
+
 def test_clean_text_is_left_alone():
     clean = "In 2024 we sold 1,234 units at 3.14 each, version 1.2.3, see section 4.5. Dr who? token of thanks: yes."
     assert pii.replaced(clean, b"k", {}) == (clean, 0)
