@@ -47,7 +47,7 @@ PATTERNS = (
     ("hex", re.compile(r"(?<![\w-])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![\w-])")),
     ("ip", re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
-    ("number", re.compile(r"(?<!\w)(?<!\d[.-])\d(?:[ -]?\d){12,18}(?!\w|-\d)")),
+    ("number", re.compile(r"(?<!\w)(?<!\d[.-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w|-\d)")),
     ("ssn", re.compile(r"(?<!\w)(?<!\d-)\d{3}-\d{2}-\d{4}(?!\w|-\d)")),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])")),
     ("name", re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.? ({_NAME}(?:[ -]{_NAME})?)")),
