@@ -1,14 +1,14 @@
 """Document fingerprints of closed syncmers, with DataFrame functions only.
 
 A text is cut into units: runs of up to UNIT_CHARS other than white space, and single
-characters of scripts without spaces. A k-mer of K units is an anchor if the least of its
+characters of scripts without spaces; a short text is cut into characters. A k-mer of K units is an anchor if the least of its
 units' hashes is at its first or last unit. That depends on the k-mer alone, so a text
 keeps its anchors wherever it stands, and about 2/K of all k-mers are anchors. A fingerprint is
 the anchors' places and 32-bit hashes; likeness is twice the common distinct anchors over the sum
 of both counts.
 
-Results for edge cases: a text of fewer than K units has one anchor, of all its units; a
-null or empty text has none and an empty fingerprint; two texts without anchors are alike
+Results for edge cases: a text of fewer units than a k-mer has one anchor, of all its units; a
+short text is unlike any that isn't short, as their units differ; a null or empty text has none and an empty fingerprint; two texts without anchors are alike
 (1), one without anchors is unlike any other (0); equal texts have equal fingerprints.
 Among equal doc_ids the order is by text, and null doc_ids come first.
 """
@@ -24,6 +24,9 @@ from ._common import pick, spread, table
 
 K = 5
 UNIT_CHARS = 12
+#: Texts below this many characters are cut into single characters, for k-mers of SHORT_K.
+SHORT_CHARS = 160
+SHORT_K = 7
 #: Ranges of scripts that are written without spaces.
 _SOLID = r"฀-໿က-႟ក-៿⺀-鿿豈-﫿"
 _UNIT = rf"[{_SOLID}]|[^\s{_SOLID}]{{1,{UNIT_CHARS}}}"
@@ -38,7 +41,12 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def packed_anchors(text: Column, k: int = K) -> Column:
     """array<bigint> of the closed syncmers of a text, in order: the place times 2^32, plus the hash as unsigned."""
-    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_UNIT), F.lit(0))
+    text = F.coalesce(text, F.lit(""))
+    cut = lambda unit: F.regexp_extract_all(text, F.lit(unit), F.lit(0))
+    return F.when(F.length(text) < SHORT_CHARS, _packed(cut("(?s)."), SHORT_K)).otherwise(_packed(cut(_UNIT), k))
+
+
+def _packed(units: Column, k: int) -> Column:
     pack = lambda at, h: at.cast("long") * F.lit(1 << 32) + h.cast("long").bitwiseAND(F.lit(_LOW))
 
     def of(h: Column) -> Column:

@@ -9,9 +9,11 @@ from deltaloom.llm import syncmers
 from .tables import clashing, documents, folder, frame
 
 
-def brute_anchors(spark, text, k=syncmers.K):
-    solid = syncmers._SOLID
+def brute_anchors(spark, text):
+    solid, k = syncmers._SOLID, syncmers.K
     units = re.findall(rf"[{solid}]|[^\t-\r {solid}]{{1,{syncmers.UNIT_CHARS}}}", text)
+    if len(text) < syncmers.SHORT_CHARS:
+        units, k = list(text), syncmers.SHORT_K
     if not units:
         return []
     h = [r[0] for r in spark.createDataFrame([(i, u) for i, u in enumerate(units)], "i int, u string").coalesce(1).orderBy("i").select(F.xxhash64("u")).collect()]
