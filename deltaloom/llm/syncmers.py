@@ -108,7 +108,8 @@ def with_next(docs: DataFrame, columns: list[str], parts: int | None = None) ->
     row = docs.select(key.alias("k")).agg(F.min("k").alias("low"), F.percentile_approx("k", shares, 100 * parts).alias("at")).first()
     bounds = sorted({b for b in (row["at"] or []) if b > row["low"]})
     n = len(bounds)
-    starts = F.array(*[F.lit(b) for b in [row["low"] if row["low"] is not None else _FIRST, *bounds]]).cast("array<bigint>")
+    known = [row["low"] if row["low"] is not None else _FIRST, *bounds]
+    starts = F.split(F.lit(",".join(map(str, known))), ",").cast("array<bigint>")  # folded to one literal
     steps = F.array(*[F.lit(1 << s) for s in reversed(range(max(1, n.bit_length())))])
     bucket = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= n) & (F.get(starts, at + s) <= F.col("w_key")), at + s).otherwise(at))
     dealt = docs.withColumn("w_key", key).withColumn("w_bucket", bucket)
