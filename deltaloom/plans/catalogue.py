@@ -427,6 +427,98 @@ def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.summary(_pairs(spark, sf_dir))
 
 
+@query("""WITH d AS (SELECT l_orderkey, min(l_linestatus) AS s FROM lineitem WHERE l_quantity > 25 GROUP BY l_orderkey) SELECT o_orderkey AS page, coalesce(d.s, o_orderstatus) AS content FROM orders LEFT JOIN d ON o_orderkey = l_orderkey""")
+def page_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as they read: the uncommitted one where there is one."""
+    flash = I.orders(spark, sf_dir).select(F.col("o_orderkey").alias("page"), F.col("o_orderstatus").alias("content"))
+    dirty = I.lineitem(spark, sf_dir).where("l_quantity > 25").groupBy(F.col("l_orderkey").alias("page")).agg(F.min("l_linestatus").alias("content"))
+    return pages.overlay(flash, dirty, ["page"])
+
+
+@query("""SELECT l_orderkey, CAST(coalesce(floor(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) END) / count(CASE WHEN l_returnflag = 'R' THEN 1 END)), 128) AS BIGINT) AS price FROM lineitem GROUP BY l_orderkey""")
+def average_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observed average prices, or the prior's."""
+    flags = I.lineitem(spark, sf_dir).select("l_orderkey", F.when(F.col("l_returnflag") == "R", F.col("l_quantity").cast("long")).alias("cost"))
+    return coding.average_price(flags, "l_orderkey", "cost", F.lit(128))
+
+
+@query("""WITH e AS (SELECT l_orderkey, b, CASE WHEN min(l_suppkey) % 50 = 0 THEN -2147483648 ELSE min(l_suppkey) - 40 END AS v FROM (SELECT l_orderkey, l_suppkey, l_partkey * 11 AS b FROM lineitem) GROUP BY l_orderkey, b),
+ g AS (SELECT *, coalesce(b - lag(b) OVER (PARTITION BY l_orderkey ORDER BY b) - 1, b) AS gap, CASE WHEN v < 0 THEN -2 * v - 1 ELSE 2 * v END AS z FROM e)
+ SELECT l_orderkey, bool_and(gap >= 0 AND gap <> 4294967295 AND z <> 4294967295) AS feasible FROM g GROUP BY l_orderkey""")
+def map_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a map's gaps and values can be coded."""
+    rows = I.lineitem(spark, sf_dir).groupBy("l_orderkey", (F.col("l_partkey") * 11).alias("b")).agg(F.min("l_suppkey").alias("s"))
+    return fields.map_feasible(rows.select("l_orderkey", "b", F.when(F.col("s") % 50 == 0, -2147483648).otherwise(F.col("s") - 40).alias("v")), "l_orderkey")
+
+
+@query(f"""WITH s AS (SELECT user_id, event_id, ts, event_id * 977 % 100000 AS pos, CAST(floor(value) AS BIGINT) + 4 AS len FROM events),
+ x AS (SELECT *, coalesce(lag(pos + len) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS expected FROM s), d AS (SELECT *, {_i32('pos - expected')} AS delta FROM x)
+ SELECT event_id, user_id, expected, CAST(delta AS BIGINT) AS delta, CAST(CASE WHEN delta < 0 THEN -2 * delta - 1 ELSE 2 * delta END AS BIGINT) AS coded, pos AS back FROM d""")
+def out_match_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output positions as differences from where the match before ended."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = I.events(spark, sf_dir).select("user_id", "event_id", "ts", (F.col("event_id") * 977 % 100000).alias("pos"), (F.floor("value").cast("long") + 4).alias("len"))
+    after = bits.out_match_next(F.col("pos"), F.col("len"), F.lit(True))
+    rows = rows.withColumn("expected", F.coalesce(F.lag(after).over(w), F.lit(0)).cast("long")).withColumn("delta", bits.out_match_delta(F.col("pos"), F.col("expected")))
+    return rows.select("event_id", "user_id", "expected", "delta", bits.zigzag("delta").alias("coded"), bits.out_match_position(F.col("expected"), F.col("delta")).alias("back"))
+
+
+@query(f"""WITH {I.SYMBOLS_SQL}, p AS (SELECT *, lag(symbol, 1, 0) OVER w * 7 + symbol * 3 + 1 AS price FROM symbols WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+ SELECT event_id, user_id, CAST(price AS BIGINT) AS price, CAST(sum(price) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS upto FROM p""")
+def literal_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices by the symbol before, and their prefix sums: a span costs the difference of two."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = I.user_symbols(spark, sf_dir).withColumn("price", (F.lag("symbol", 1, 0).over(w) * 7 + F.col("symbol") * 3 + 1).cast("long"))
+    return rows.select("event_id", "user_id", "price", F.sum("price").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+
+
+@query(f"""WITH {I.OPS_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM ops) SELECT l_orderkey, op_no, CASE WHEN l_orderkey % 2 = 0 THEN op_no - 1 ELSE n - op_no END AS step FROM n""")
+def apply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The step at which each op is applied, in either direction."""
+    rows = I.ops(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey")))
+    return rows.select("l_orderkey", "op_no", walk.apply_order(F.col("op_no") - 1, F.col("n"), F.col("l_orderkey") % 2 == 0).alias("step"))
+
+
+@query("""WITH v AS (SELECT o_orderkey, o_custkey * 40000 AS base, CAST(round(o_totalprice) AS BIGINT) * 150 AS z FROM orders), d AS (SELECT *, CASE WHEN z % 2 = 1 THEN base - (z // 2 + 1) ELSE base + z // 2 END AS x FROM v)
+ SELECT o_orderkey, base, z, CASE WHEN x >= 0 AND (z % 2 = 1 OR x <= 67108864) THEN x ELSE -1 END AS size FROM d""")
+def absolute_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes coded as differences; -1 where out of bounds."""
+    rows = I.orders(spark, sf_dir).select("o_orderkey", (F.col("o_custkey") * 40000).alias("base"), (F.round("o_totalprice").cast("long") * 150).alias("z"))
+    return rows.select("*", F.coalesce(bits.zigzag_absolute("base", "z"), F.lit(-1)).cast("long").alias("size"))
+
+
+@query("""WITH r AS (SELECT unnest(range(1, 4096)) AS p), b AS (SELECT p, unnest([0, 1]) AS bit FROM r)
+ SELECT p, CAST(bit AS INTEGER) AS bit, CAST(CASE WHEN bit = 1 THEN p - (p >> 4) ELSE p + ((4096 - p) >> 4) END AS INTEGER) AS wide, CAST(CASE WHEN p < 256 THEN CASE WHEN bit = 1 THEN p - (p >> 4) ELSE p + ((256 - p) >> 4) END ELSE 0 END AS INTEGER) AS narrow FROM b""")
+def prob_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every adaptive probability after either bit, in 12 bits and in 8."""
+    rows = spark.range(1, 4096).select(F.col("id").alias("p"), F.explode(F.array(F.lit(0), F.lit(1))).alias("bit"))
+    p = F.col("p").cast("int")
+    return rows.select("p", "bit", bits.prob_step(p, F.col("bit")).alias("wide"), F.when(p < 256, bits.prob_step(p, F.col("bit"), whole=256)).otherwise(0).alias("narrow"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS num, l_partkey % 3 * 1000 AS den FROM lineitem WHERE l_quantity <= 1000),
+ p AS (SELECT *, CASE WHEN den = 0 THEN 2048 ELSE greatest(1, least(4095, (8192 * num + den) // (2 * den))) END AS p12 FROM v)
+ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, num, den, CAST(p12 AS BIGINT) AS p12, CAST(greatest(1, least(255, (p12 + 8) >> 4)) AS BIGINT) AS p8 FROM p""")
+def ratio_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios as coder probabilities, in 12 bits and in 8."""
+    rows = I.lineitem(spark, sf_dir).where("l_quantity <= 1000").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("num"), (F.col("l_partkey") % 3 * 1000).alias("den"))
+    rows = rows.withColumn("p12", bits.ratio_prob("num", "den").cast("long"))
+    return rows.withColumn("p8", bits.tree_prob(F.col("p12").cast("int")).cast("long"))
+
+
+@query("""WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents), k AS (SELECT doc_id, substr(h, 2 * unnest(range(n - 2)) + 1, 6) AS k FROM h WHERE n > 2),
+ v AS (SELECT doc_id, CAST('0x' || substr(k, 5, 2) || substr(k, 3, 2) || substr(k, 1, 2) AS BIGINT) AS v FROM k)
+ SELECT doc_id AS image_id, count(*) AS places, count(DISTINCT v) AS keys, CAST(min(v) AS BIGINT) AS least, CAST(max(v) AS BIGINT) AS most FROM v GROUP BY doc_id""")
+def trigram_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of each image's byte trigrams: how many, how many distinct, the least and the greatest."""
+    v = images.document_images(spark, sf_dir).select("image_id", images.byte_values(F.col("content")).alias("v")).where(F.size("v") > 2)
+    n = F.size("v") - 2
+    pairs = F.zip_with(F.slice("v", F.lit(1), n), F.slice("v", F.lit(2), n), lambda a, b: a + 256 * b)
+    keys = F.zip_with(pairs, F.slice("v", F.lit(3), n), lambda p, c: p.cast("long") + 65536 * c.cast("long"))
+    v = v.select("image_id", keys.alias("k"))
+    return v.select("image_id", F.size("k").cast("long").alias("places"), F.size(F.array_distinct("k")).cast("long").alias("keys"), F.array_min("k").alias("least"), F.array_max("k").alias("most"))
+
+
 @query()
 def delta_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest patch of every pair, over all plans."""
