@@ -5,10 +5,10 @@ characters of scripts without spaces; a short text is cut into characters. A k-m
 units' hashes is at its first or last unit. That depends on the k-mer alone, so a text
 keeps its anchors wherever it stands, and about 2/K of all k-mers are anchors. A fingerprint is
 the anchors' places and 32-bit hashes; likeness is twice the common distinct anchors over the sum
-of both counts.
+of both counts. Two texts are always compared in one unit: in characters if either is short, for
+which a longer text's anchors of characters are taken too.
 
-Results for edge cases: a text of fewer units than a k-mer has one anchor, of all its units; a
-short text is unlike any that isn't short, as their units differ; a null or empty text has none and an empty fingerprint; two texts without anchors are alike
+Results for edge cases: a text of fewer units than a k-mer has one anchor, of all its units; a null or empty text has none and an empty fingerprint; two texts without anchors are alike
 (1), one without anchors is unlike any other (0); equal texts have equal fingerprints.
 Among equal doc_ids the order is by text, and null doc_ids come first.
 """
@@ -42,8 +42,21 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 def packed_anchors(text: Column, k: int = K) -> Column:
     """array<bigint> of the closed syncmers of a text, in order: the place times 2^32, plus the hash as unsigned."""
     text = F.coalesce(text, F.lit(""))
-    cut = lambda unit: F.regexp_extract_all(text, F.lit(unit), F.lit(0))
-    return F.when(F.length(text) < SHORT_CHARS, _packed(cut("(?s)."), SHORT_K)).otherwise(_packed(cut(_UNIT), k))
+    return F.when(is_short(text), packed_char_anchors(text)).otherwise(_packed(F.regexp_extract_all(text, F.lit(_UNIT), F.lit(0)), k))
+
+
+def packed_char_anchors(text: Column) -> Column:
+    """As ``packed_anchors``, of single characters whatever the length: what a short text shares with a longer one."""
+    return _packed(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?s)."), F.lit(0)), SHORT_K)
+
+
+def is_short(text: Column) -> Column:
+    return F.length(F.coalesce(text, F.lit(""))) < SHORT_CHARS
+
+
+def comparable(text: Column, found: Column, other: Column) -> Column:
+    """The packed anchors ``found`` of a text, or those of its characters if only ``other`` is short."""
+    return F.when(is_short(other) & ~is_short(text), packed_char_anchors(text)).otherwise(found)
 
 
 def _packed(units: Column, k: int) -> Column:
@@ -62,7 +75,11 @@ def _packed(units: Column, k: int) -> Column:
 
 def anchors(text: Column, k: int = K) -> Column:
     """array<struct<at int, hash int>> of the closed syncmers of a text, in order."""
-    return F.transform(packed_anchors(text, k), lambda a: F.struct(F.shiftright(a, 32).cast("int").alias("at"), _signed(a).alias("hash")))
+    return _unpacked(packed_anchors(text, k))
+
+
+def _unpacked(packed: Column) -> Column:
+    return F.transform(packed, lambda a: F.struct(F.shiftright(a, 32).cast("int").alias("at"), _signed(a).alias("hash")))
 
 
 def _signed(a: Column) -> Column:
@@ -86,13 +103,20 @@ def distinct_hashes(packed: Column) -> Column:
 
 
 def match_anchors(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Where two sets of documents (doc_id, anchors) share anchors: (hash, a_id, a_at, b_id, b_at) for anchors that occur once in each document."""
+    """Where two sets of ``fingerprints`` share anchors: (hash, a_id, a_at, b_id, b_at) for anchors that occur once in each document.
+
+    Places are of characters if either document is short, else of units.
+    """
 
-    def once(df: DataFrame, x: str) -> DataFrame:
-        rows = df.select(F.col("doc_id").alias(f"{x}_id"), F.explode("anchors").alias("n"))
+    def once(df: DataFrame, x: str, short: bool, column: str) -> DataFrame:
+        rows = df.where(F.col("short") == short).select(F.col("doc_id").alias(f"{x}_id"), F.explode(column).alias("n"))
         return rows.groupBy(f"{x}_id", F.col("n.hash").alias("hash")).agg(F.min("n.at").alias(f"{x}_at"), F.count("*").alias("c")).where("c = 1").drop("c")
 
-    return once(a, "a").join(once(b, "b"), "hash")
+    def met(a_short: bool, b_short: bool) -> DataFrame:
+        column = "chars" if a_short or b_short else "anchors"
+        return once(a, "a", a_short, column).join(once(b, "b", b_short, column), "hash")
+
+    return met(False, False).unionByName(met(True, True)).unionByName(met(True, False)).unionByName(met(False, True))
 
 
 def with_next(docs: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
@@ -123,9 +147,10 @@ def with_next(docs: DataFrame, columns: list[str], parts: int | None = None) ->
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """(doc_id, anchors, fingerprint) for each row; no shuffle."""
+    """(doc_id, anchors, fingerprint, short, chars) for each row, with chars the anchors of its characters; no shuffle."""
     docs = pick(docs, doc_id=id_col, text=text_col)
-    return docs.select("doc_id", anchors(F.col("text"), k).alias("anchors"), fingerprint(packed_anchors(F.col("text"), k)).alias("fingerprint"))
+    text = F.col("text")
+    return docs.select("doc_id", anchors(text, k).alias("anchors"), fingerprint(packed_anchors(text, k)).alias("fingerprint"), is_short(text).alias("short"), _unpacked(packed_char_anchors(text)).alias("chars"))
 
 
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,14 +161,20 @@ def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    met = met.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "found", distinct_hashes(F.col("found")).alias("own"), distinct_hashes(F.col("next_found")).alias("after"))
+    met = met.select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), edited.alias("edited"), "found", "next_found")
     met = met.withColumn("edited_found", packed_anchors(F.col("edited")))
+
+    def near(other: str) -> Column:
+        """The likeness of the text and ``other``."""
+        pair = [("text", "found", other), (other, "edited_found" if other == "edited" else "next_found", "text")]
+        return likeness(*[distinct_hashes(comparable(*map(F.col, names))) for names in pair])
+
     return met.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         fingerprint(F.col("found")).alias("fingerprint"),
         fingerprint(F.col("edited_found")).alias("edited_fingerprint"),
-        likeness(F.col("own"), distinct_hashes(F.col("edited_found"))).alias("near_edited"),
-        likeness(F.col("own"), F.col("after")).alias("near_next"),
+        near("edited").alias("near_edited"),
+        near("next_text").alias("near_next"),
     )

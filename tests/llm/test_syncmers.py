@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -74,3 +75,17 @@ def test_next_rows_whatever_the_partitions(spark):
 def test_no_python_in_the_plan(spark, tmp_path):
     plan = syncmers.op4_syncmers(spark, folder(spark, tmp_path, documents()))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_short_and_long_texts_share_anchors(spark, tmp_path):
+    """Lengths on both sides of SHORT_CHARS: a near copy, an edited text that becomes short, a passage in a long document."""
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60))
+    rows = [(0, text[:162], "", "", 0), (1, text[:158], "", "", 0), (2, text[200:378], "", "", 0), (3, "tiny", "", "", 0)]
+    got = {r["doc_id"]: r for r in syncmers.op4_syncmers(spark, folder(spark, tmp_path, rows)).collect()}
+    assert got[0]["near_next"] > 0.9 and got[1]["near_next"] < 0.1
+    assert got[2]["n_chars"] == 178 and got[2]["near_edited"] > 0.4
+    f = syncmers.fingerprints(frame(spark, [(0, text[100:200], "", "", 0), (1, text, "", "", 0)]))
+    for a, b, step in ((0, 1, 100), (1, 0, -100)):
+        met = syncmers.match_anchors(f.where(f"doc_id = {a}"), f.where(f"doc_id = {b}")).collect()
+        assert len(met) > 10 and {r["b_at"] - r["a_at"] for r in met} == {step}
