@@ -10,7 +10,9 @@ type and format, and formats are kept, so different entities stay different.
 
 A surrogate may still be some other real entity. That is checked over the whole corpus: the
 distinct entities are joined with all surrogates, and those in conflict get the surrogate of a
-next attempt until none is left. These exceptions are broadcast if few (checked); otherwise each
+next attempt until none is left. When the attempts in a value's own format run out, its surrogate
+is a keyed draw that is some characters longer, and longer with every few attempts; should that
+not be enough either, the query fails. These exceptions are broadcast if few (checked); otherwise each
 document's own are joined to it.
 
 Results for edge cases: a null text stays null, an empty one empty; a text without entities
@@ -34,6 +36,10 @@ DEMO_KEY = b"deltaloom demonstration key"
 #: Exceptions that fit a broadcast; with more, each document's own are joined to it.
 BROADCAST_EXCEPTIONS = 100_000
 ROUNDS = 8
+#: Attempts in a value's own format; the later ones are in wider formats, some for each width.
+FORMAT_ATTEMPTS = 50
+WIDTH_ATTEMPTS = 2
+WIDTHS = 32
 
 #: Titles and the gender they tell.
 TITLES = {
@@ -132,8 +138,32 @@ def _ciphered(kind: str, value: str, key: bytes, attempt: int, alphabet: Alphabe
     return "".join(c if p is None else alphabet.char(p[0], next(new)) for c, p in zip(value, places, strict=True))
 
 
+def _widened(kind: str, value: str, key: bytes, attempt: int, width: int) -> str:
+    """A keyed draw: each character for one of its class, those of no class for a letter, and ``width`` more of the kind of the first word's last one."""
+    seed = hashlib.blake2b(f"wide|{kind}|{attempt}|{value}".encode(), key=key[:64]).digest()
+    word = re.search(r"[^\W_]+", value)
+    fixed = range(value.rindex("."), len(value)) if kind == "email" else ()
+    draws = iter(hashlib.shake_256(seed).digest(8 * (len(value) + width)))
+
+    def draw(c: str) -> str:
+        n = int.from_bytes(bytes(next(draws) for _ in range(8)))
+        if place := _LETTERS.place(c):
+            return _LETTERS.char(place[0], n % place[2])
+        if c.isalnum() or not word:
+            own = _CLASSES[4] if c.isupper() else _CLASSES[2]
+            return own[n % len(own)]
+        return c
+
+    at = word.end() if word else len(value)
+    more = "".join(draw(value[at - 1]) for _ in range(width))
+    own = [c if i in fixed else draw(c) for i, c in enumerate(value)]
+    return "".join([*own[:at], more, *own[at:]])
+
+
 def surrogate(kind: str, value: str, key: bytes = DEMO_KEY, attempt: int = 0) -> str:
-    """The surrogate of an entity, of its own type and format."""
+    """The surrogate of an entity, of its own type and format, or after FORMAT_ATTEMPTS of a wider one."""
+    if attempt > FORMAT_ATTEMPTS and kind not in ("ip", "number"):  # these have room for every corpus
+        return _widened(kind, value, key, attempt, 1 + (attempt - FORMAT_ATTEMPTS - 1) // WIDTH_ATTEMPTS)
     if kind == "ip":
         octets = value.split(".")
         if all(str(int(o)) == o for o in octets):
@@ -231,8 +261,10 @@ def exceptions(entities: DataFrame, key: bytes) -> DataFrame:
     settled = spark.createDataFrame([], "kind string, value string, attempt int")
     taken = entities.join(left, ["kind", "value"], "left_anti").select("kind", "surrogate")
     turn = 0
-    while turn < 50 and not left.isEmpty():
+    while not left.isEmpty():
         turn += 1
+        if turn > FORMAT_ATTEMPTS + WIDTHS * WIDTH_ATTEMPTS:
+            raise RuntimeError(f"{left.count()} entities are left without a surrogate of their own")
         new = written(with_surrogates(left.withColumn("attempt", F.lit(turn)), key), "attempts")
         left = written(conflicts(new, taken), "conflicts")
         good = new.join(left, ["kind", "value"], "left_anti")

@@ -82,3 +82,16 @@ def test_rows_and_columns_stay(spark):
     want = sorted(str(r["doc_id"]) + str(pii.replaced(r["text"], pii.DEMO_KEY, {})[0]) for r in df.collect())
     assert sorted(str(r["doc_id"]) + str(r["text"]) for r in out.collect()) == want
     assert pii.replace_entities(frame(spark, [])).count() == 0
+
+
+def test_full_formats_are_widened(spark):
+    """More names than their format has free surrogates, and values of no known letter: none may stay or be another's."""
+    names = [f"{c}i" for c in "BDJKLMNQSXY"] + ["\u0531\u0562"]
+    secrets = ["========", "++++////"]
+    entities = spark.createDataFrame([("name", n) for n in names] + [("secret", v) for v in secrets], "kind string, value string")
+    found = {(r["kind"], r["value"]): r["attempt"] for r in pii.exceptions(entities, b"k").collect()}
+    assert max(found.values()) > pii.FORMAT_ATTEMPTS
+    new = [pii.surrogate("name", n, b"k", found.get(("name", n), 0)) for n in names]
+    new += [pii.surrogate("secret", v, b"k", found.get(("secret", v), 0)) for v in secrets]
+    assert len(set(new)) == len(names) + len(secrets) and not set(new) & {*names, *secrets}
+    assert not any(v in n for v in (*secrets, names[-1]) for n in new)
