@@ -47,9 +47,11 @@ TITLES = {
     "Sr": "m", "Sra": "f", "Don": "m", "Doña": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f",
 }
 _NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]+"
+#: A key word with what stands around it: client_secret, DB_PASSWORD, auth-key-2, accessToken; but not author or tokenizer.
+_SECRET_KEY = r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth)(?i:s|\d+)?(?:[_-][\w-]*|(?<=[a-z])[A-Z]\w*)?(?!\w)"
 PATTERNS = (
     ("email", re.compile(r"(?<![\w.+-])[\w.%+-]+@[^\W_](?:[\w-]*\w)?(?:\.[^\W_](?:[\w-]*\w)?)+")),
-    ("secret", re.compile(r"""(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth)\b["']?\s*[=:]\s*["']?([\w+/=.~-]{8,})""")),
+    ("secret", re.compile(rf"""{_SECRET_KEY}["']?\s*[=:]\s*(?:"((?:\\.|[^"\\\n]){{8,}})"|'((?:\\.|[^'\\\n]){{8,}})'|["']([^\s"']{{8,}})|([^\s"']\S{{7,}}))""")),
     ("hex", re.compile(r"(?<![\w-])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![\w-])")),
     ("ip", re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
@@ -194,9 +196,8 @@ def find_entities(text: str | None) -> list[tuple[int, int, str]]:
     for rank, (kind, pattern) in enumerate(PATTERNS):
         if not (mail if kind == "email" else title if kind == "name" else secret if kind == "secret" else digits):
             continue
-        group = pattern.groups
         for m in pattern.finditer(text):
-            a, b = m.span(group)
+            a, b = m.span(m.lastindex or 0)
             found.append((a, -b, rank, kind))
     out, end = [], 0
     for a, b, _, kind in sorted(found):

@@ -95,3 +95,17 @@ def test_full_formats_are_widened(spark):
     new += [pii.surrogate("secret", v, b"k", found.get(("secret", v), 0)) for v in secrets]
     assert len(set(new)) == len(names) + len(secrets) and not set(new) & {*names, *secrets}
     assert not any(v in n for v in (*secrets, names[-1]) for n in new)
+
+
+def test_secrets_in_usual_forms():
+    forms = {
+        "client_secret = {}": "s3cr3tv4lue", "DB_PASSWORD={}": "Passw0rd!23", "GITHUB_TOKEN: {}": "ghp_16C7e42F292c6912E7", "refresh_token={}": "rt-88aa77bb",
+        "access_token={}": "ya29.a0AfH6SM", "aws_secret_access_key = {}": "wJalrXUtnFEMI/K7MDENG", "auth_key={}": "0a1b2c3d4e", "password: {}": "hunt!er2$long",
+        "accessToken={}": "abcd1234efgh", "password: {} then": "Passw0rd!23", 'password = "{}"': "correct horse battery", "{{'api_keys': '{}'}}": "it is long;too", 'password: "{}': "open-ended1",
+    }
+    for form, value in forms.items():
+        text = form.format(value)
+        assert [(text[a:b], k) for a, b, k in pii.find_entities(text)] == [(value, "secret")], form
+        assert value not in pii.replaced(text, b"k", {})[0]
+    for text in ("author: Shakespeare", "The authority: government", "tokenizer = bytelevel", "AUTHOR: SHAKESPEARE", "secretary: Johnson-Smith"):
+        assert pii.find_entities(text) == [], text
