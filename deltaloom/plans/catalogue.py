@@ -394,8 +394,8 @@ def suffix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRAPH = """edges(caller, callee, w) AS (SELECT 'n' || n_nationkey, 'r' || n_regionkey, length(n_name) FROM nation UNION ALL SELECT 'r' || r_regionkey, 'root', length(r_name) FROM region)"""
 
 
-@query(f"""WITH RECURSIVE {_GRAPH}, paths(start, node, depth, cost) AS (SELECT DISTINCT caller, caller, 0, 0 FROM edges UNION ALL SELECT p.start, e.callee, p.depth + 1, p.cost + CAST(e.w AS INTEGER) FROM paths p JOIN edges e ON p.node = e.caller WHERE p.depth < 64)
- SELECT start, CAST(max(depth) AS INTEGER) AS depth, CAST(max(cost) AS INTEGER) AS cost FROM paths GROUP BY start""")
+@query(f"""WITH RECURSIVE {_GRAPH}, paths(start, node, depth, cost) AS (SELECT DISTINCT caller, caller, 0, 0 FROM edges UNION ALL SELECT p.start, e.callee, p.depth + 1, p.cost + CAST(e.w AS INTEGER) FROM paths p JOIN edges e ON p.node = e.caller)
+ SELECT start, CAST(max(depth) AS BIGINT) AS depth, CAST(max(cost) AS BIGINT) AS cost FROM paths WHERE depth > 0 GROUP BY start""")
 def callgraph_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .graph import longest_paths
 
@@ -412,9 +412,10 @@ def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy(tag.alias("tag")).agg(F.count("*").alias("pairs"), F.sum("from_size").alias("from_bytes"), F.sum("to_size").alias("to_bytes"), F.max("to_size").alias("largest"))
 
 
-@query("SELECT user_id, CAST(event_id // 256 AS BIGINT) AS page, count(*) AS writes FROM events GROUP BY ALL")
+@query("""WITH w AS (SELECT user_id, CAST(event_id // 256 AS BIGINT) AS page, max(event_id // 256) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events)
+ SELECT user_id, CASE WHEN page <= before - 2 THEN 'late' ELSE 'page' END AS kind, page, count(*) AS writes FROM w GROUP BY ALL""")
 def stream_page_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events streamed as page writes; each page comes out once, when the frontier has passed it."""
+    """Events streamed as page writes, out of order; each page comes out once, when the frontier has passed it, and late writes as such."""
     from ..streaming import pages as stream
 
     return stream.replay(spark, sf_dir)

@@ -175,3 +175,11 @@ def test_call_graphs(spark):
     assert {r["start"]: (r["depth"], r["cost"]) for r in graph.longest_paths(edges).collect()} == {"a": (2, 7), "b": (1, 4)}
     assert not graph.has_cycle(edges)
     assert graph.has_cycle(edges.unionByName(spark.createDataFrame([("c", "a", 1)], "caller string, callee string, w long")))
+    edges = spark.createDataFrame([(f"f{i:03}", f"f{i + 1:03}", i) for i in range(70)] + [("x", "f000", 1), (None, "f001", 9), ("f001", None, 9)], "caller string, callee string, w long")
+    got = {r["start"]: (r["depth"], r["cost"]) for r in graph.longest_paths(edges).collect()}
+    assert got["f000"] == (70, sum(range(70))) and got["x"] == (71, 1 + sum(range(70))) and len(got) == 71
+    below = spark.createDataFrame([("start", "a", 1), ("a", "b", 1), ("b", "c", 1), ("c", "b", 1), ("d", "e", 1)], "caller string, callee string, w long")
+    assert graph.has_cycle(below)
+    with pytest.raises(ValueError):
+        graph.longest_paths(below)
+    assert graph.longest_paths(edges.where("w > 1000")).count() == 0
