@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import scratch_dir, written
 from ..sources.spread import spread
 
 #: Words as the contracts define them: runs of anything but ASCII white space.
@@ -37,14 +37,6 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return raw.select(*[F.col(f"_c{i}").alias(out) for out, i in found.items()])
 
 
-def written(df: DataFrame, what: str = "table") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it cuts lineage and survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{what}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
 def file_system(spark: SparkSession, path: str):
     """Hadoop's file system and path objects for ``path``."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
