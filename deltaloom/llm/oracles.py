@@ -2,29 +2,11 @@
 
 from __future__ import annotations
 
-from .quality import HOST_RATE
-
 _WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
 
-#: The host rules' failures, as in quality.rules().
-_RULES = {
-    "short": "n_words < 10",
-    "repeats": "100 * n_repeat_words > 20 * n_words",
-    "symbols": "10 * n_symbols > n_words",
-    "lines": "100 * n_dup_lines > 30 * n_lines",
-    "word_length": "word_chars < 3 * n_words OR word_chars > 12 * n_words",
-}
-
 
 def op5() -> str:
-    fails = ", ".join(f"sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS f_{k}" for k, c in _RULES.items())
-    sums = ", ".join(f"sum(f_{k}) AS t_{k}, sum(CAST(f_{k} AS DOUBLE) * f_{k} / n) AS q_{k}" for k in _RULES)
-    bad = []
-    for k in _RULES:
-        mean = f"(t_{k} / docs)"
-        rho = f"""greatest(1e-4, least(0.99, coalesce(CASE WHEN {mean} * (1 - {mean}) > 0 AND docs - nn / docs - (h - 1) > 0
-          THEN ((q_{k} - t_{k} * {mean}) / ({mean} * (1 - {mean})) - (h - 1)) / (docs - nn / docs - (h - 1)) END, 1e-4)))"""
-        bad.append(f"(f_{k} + {mean} * (1 / {rho} - 1)) / (n + 1 / {rho} - 1) > {HOST_RATE}")
+    """Measures by lists; a beta prior from the variance between and within hosts, by rule in long form."""
     return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
  w AS (SELECT *, {_WORDS.format(t="t")} AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d),
  g AS (SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
@@ -33,12 +15,16 @@ def op5() -> str:
  m AS (SELECT w.rid, doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN r ON w.rid = r.rid),
- hosts AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, {fails} FROM m GROUP BY host),
- sums AS (SELECT CAST(count(*) AS DOUBLE) AS h, sum(n) AS docs, sum(n * n) AS nn, {sums} FROM hosts),
- bad AS (SELECT host FROM hosts, sums WHERE {" OR ".join(bad)}),
- b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
- SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
- NOT (base_failed OR (host IN (SELECT host FROM bad) AND ({" OR ".join(f"({c})" for c in _RULES.values())}))) AS kept FROM b"""
+ f AS (SELECT rid, host, unnest(['few words', 'said again', 'signs', 'same lines', 'odd words']) AS rule,
+  unnest([n_words < 10, n_repeat_words / n_words > 0.2 AND n_words > 0, n_symbols / greatest(n_words, 0.5) > 0.1, n_dup_lines / greatest(n_lines, 1) > 0.3, n_words > 0 AND (word_chars / n_words < 3 OR word_chars / n_words > 12)]) AS bad FROM m),
+ h AS (SELECT host, rule, CAST(count(*) AS DOUBLE) AS n, avg(CASE WHEN bad THEN 1.0 ELSE 0.0 END) AS p FROM f GROUP BY host, rule),
+ s AS (SELECT rule, count(*) - 1 AS free, sum(n) AS docs, sum(n * p) / sum(n) AS mean, sum(n) - sum(n * n) / sum(n) AS reach FROM h GROUP BY rule),
+ v AS (SELECT h.rule, sum(n * (p - mean) * (p - mean)) AS between_hosts FROM h JOIN s ON h.rule = s.rule GROUP BY h.rule),
+ k AS (SELECT s.rule, mean, CASE WHEN mean > 0 AND mean < 1 AND reach > free THEN least(0.99, greatest(0.0001, (between_hosts / (mean * (1 - mean)) - free) / (reach - free))) ELSE 0.0001 END AS alike FROM s JOIN v ON s.rule = v.rule),
+ a AS (SELECT host, k.rule, mean, (n * p * alike + mean * (1 - alike)) / (n * alike + 1 - alike) AS shrunk FROM h JOIN k ON h.rule = k.rule),
+ x AS (SELECT f.rid, bool_or(bad) AS habit FROM f JOIN a ON f.host = a.host AND f.rule = a.rule WHERE shrunk > 0.01 AND shrunk > mean / 2 GROUP BY f.rid),
+ b AS (SELECT m.*, n_words < 10 OR n_repeat_words / n_words > 0.2 AS base_failed, coalesce(x.habit, false) AS habit FROM m LEFT JOIN x ON m.rid = x.rid)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, habit AND NOT base_failed AS by_host, NOT base_failed AND NOT habit AS kept FROM b"""
 
 
 def op8(size: int = 3, percent: int = 85) -> str:

@@ -2,12 +2,16 @@
 
 Each document is measured once. Rule failures are counted by host (partial sums first, so a
 host with a third of all rows is no more than a few rows in a shuffle). Failure rates are
-shrunk towards all hosts' by a beta prior that is fitted to the hosts by moments. A host
-whose shrunk rate is too high for some rule is distrusted, and its documents must pass the
-stricter rules; a document that passes every rule is kept whatever its host.
+shrunk towards all hosts' by a beta prior that is fitted to the hosts by moments. Of each host
+and rule that gives a verdict: a failure is the host's habit, or an accident. It is a habit where
+the shrunk rate is above RARE and above HABIT times the rate of the whole corpus. Verdicts
+are joined back: a document is dropped if it fails a rule of which failures are a habit of its host.
+So junk goes where it is common, and the odd table or list of a host that hardly has any stays. A
+document that passes every rule is kept whatever its host.
 
 Results for edge cases: a null or empty text has no words and fails; a null host counts as
-the empty one; repeated rows are judged alike; an empty table gives no rows.
+the empty one; repeated rows are judged alike; an empty table gives no rows; columns of other or
+clashing names stay as they are; a text may be of any length.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ _SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 #: Hosts that fit a broadcast; with more, verdicts are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
-#: A host is distrusted if its shrunk failure rate for some rule is above this.
-HOST_RATE = 0.5
+#: Failures of a rule on a host are accidents up to this shrunk rate,
+RARE = 0.01
+#: and up to this part of the corpus' own rate.
+HABIT = 0.5
 
 
 def measures(text: bytes) -> tuple[int, int, int, int, int, int]:
@@ -113,8 +119,8 @@ def rules() -> dict[str, Column]:
     }
 
 
-def distrusted_hosts(measured: DataFrame, rate: float = HOST_RATE) -> DataFrame:
-    """(d_host) for each host whose shrunk failure rate is above ``rate`` for some rule."""
+def host_verdicts(measured: DataFrame, rare: float = RARE, habit: float = HABIT) -> DataFrame:
+    """(d_host, v_<rule>, p_<rule>): of each host and rule whether failures are a habit, and the shrunk rate."""
     names = list(rules())
     hosts = measured.groupBy("m_host").agg(F.count("*").alias("n"), *[F.sum(c.cast("long")).alias(f"f_{k}") for k, c in rules().items()])
     sums = hosts.agg(
@@ -125,27 +131,27 @@ def distrusted_hosts(measured: DataFrame, rate: float = HOST_RATE) -> DataFrame:
         *[F.sum(F.col(f"f_{k}").cast("double") * F.col(f"f_{k}") / F.col("n")).alias(f"q_{k}") for k in names],
     )
     joined = hosts.join(F.broadcast(sums), F.lit(True))  # one row
-    bad = F.lit(False)
+    out = []
     for k in names:
         mean = F.col(f"t_{k}") / F.col("docs")
         within = mean * (1 - mean)
-        spread = F.col(f"q_{k}") - F.col(f"t_{k}") * mean
+        between = F.col(f"q_{k}") - F.col(f"t_{k}") * mean
         space = F.col("docs") - F.col("nn") / F.col("docs") - (F.col("h") - 1)
-        rho = F.when((within > 0) & (space > 0), (F.try_divide(spread, within) - (F.col("h") - 1)) / F.when(space > 0, space))
+        rho = F.when((within > 0) & (space > 0), (F.try_divide(between, within) - (F.col("h") - 1)) / F.when(space > 0, space))
         rho = F.greatest(F.lit(1e-4), F.least(F.lit(0.99), F.coalesce(rho, F.lit(1e-4))))
         weight = 1 / rho - 1
-        bad = bad | ((F.col(f"f_{k}") + mean * weight) / (F.col("n") + weight) > rate)
-    return joined.where(bad).select(F.col("m_host").alias("d_host"))
+        shrunk = (F.col(f"f_{k}") + mean * weight) / (F.col("n") + weight)
+        out += [((shrunk > rare) & (shrunk > habit * mean)).alias(f"v_{k}"), shrunk.alias(f"p_{k}")]
+    return joined.select(F.col("m_host").alias("d_host"), *out)
 
 
-def with_verdicts(measured: DataFrame, rate: float = HOST_RATE) -> DataFrame:
-    """``measured`` (a written table) with m_base_failed and m_kept."""
+def with_verdicts(measured: DataFrame, rare: float = RARE, habit: float = HABIT) -> DataFrame:
+    """``measured`` (a written table) with m_base_failed, m_by_host (dropped by the host's verdict alone) and m_kept."""
     spark = measured.sparkSession
-    hosts = written(distrusted_hosts(measured, rate), "hosts")
+    verdicts = [f"v_{k}" for k in rules()]
+    hosts = host_verdicts(measured, rare, habit).select("d_host", *verdicts).where(" or ".join(verdicts))
+    hosts = written(hosts, "hosts")
     few = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    strict = F.lit(False)
-    for c in rules().values():
-        strict = strict | c
     if not few:
         salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
         hosts = hosts.withColumn("d_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -153,24 +159,27 @@ def with_verdicts(measured: DataFrame, rate: float = HOST_RATE) -> DataFrame:
         met = measured.join(hosts, (F.col("m_host") == F.col("d_host")) & (F.col("m_salt") == F.col("d_salt")), "left").drop("m_salt", "d_salt")
     else:
         met = measured.join(F.broadcast(hosts), F.col("m_host") == F.col("d_host"), "left")
-    return met.withColumn("m_base_failed", base_failed()).withColumn("m_kept", ~(base_failed() | (F.col("d_host").isNotNull() & strict))).drop("d_host")
+    fails = F.lit(False)
+    for k, c in rules().items():
+        fails = fails | (c & F.coalesce(F.col(f"v_{k}"), F.lit(False)))
+    met = met.withColumn("m_base_failed", base_failed()).withColumn("m_by_host", ~base_failed() & fails)
+    return met.withColumn("m_kept", ~(F.col("m_base_failed") | F.col("m_by_host"))).drop("d_host", *verdicts)
 
 
-def judge_documents(docs: DataFrame, rate: float = HOST_RATE) -> DataFrame:
-    """(doc_id, source host, counts, base_failed, kept) for each row."""
-    judged = with_verdicts(written(measure_documents(docs), "measures"), rate)
-    return judged.select(
-        F.col("m_doc_id").alias("doc_id"), F.col("m_host").alias("host"), *[F.col(f"m_{c}").alias(c) for c in COUNTS], F.col("m_base_failed").alias("base_failed"), F.col("m_kept").alias("kept")
-    )
+def judge_documents(docs: DataFrame, rare: float = RARE, habit: float = HABIT) -> DataFrame:
+    """(doc_id, source host, counts, base_failed, by_host, kept) for each row."""
+    judged = with_verdicts(written(measure_documents(docs), "measures"), rare, habit)
+    found = [F.col(f"m_{c}").alias(c) for c in (*COUNTS, "base_failed", "by_host", "kept")]
+    return judged.select(F.col("m_doc_id").alias("doc_id"), F.col("m_host").alias("host"), *found)
 
 
-def keep_documents(docs: DataFrame, rate: float = HOST_RATE) -> DataFrame:
+def keep_documents(docs: DataFrame, rare: float = RARE, habit: float = HABIT) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    judged = with_verdicts(written(measure_documents(docs, keep=True), "measures"), rate)
+    judged = with_verdicts(written(measure_documents(docs, keep=True), "measures"), rare, habit)
     return judged.where("m_kept").select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged by the rules and by its host."""
     judged = judge_documents(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", *[c for c in COUNTS if c != "n_lines"], "base_failed", "kept")
+    return judged.select("doc_id", *[c for c in COUNTS if c != "n_lines"], "base_failed", "by_host", "kept")
