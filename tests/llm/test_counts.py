@@ -11,22 +11,57 @@ def totals(rollup):
 
 
 def test_op6(spark, tmp_path):
-    library = Tokenizer.from_file(vocabulary())
-    n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    """Totals of the whole table and whole texts, for both tokenizers."""
     want = {}
-    for _, t, lang, source, _ in (rows := documents()):
-        t = t or ""
-        if n(t) >= counts.SHORT:
-            old = want.setdefault((source, lang), [0, 0, 0])
-            for k, x in enumerate((1, n(t.strip()), len(t))):
+    for version in ("byte_bpe_50k", "word_bpe_49k"):
+        library = Tokenizer.from_file(vocabulary(f"{version}.json"))
+        for _, t, lang, source, _ in (rows := [*documents(), (7000, "long " * 700_000 + "\n", "en", "hot", 0)]):
+            old = want.setdefault((source, lang, version), [0, 0, 0])
+            for k, x in enumerate((1, len(library.encode(t or "", add_special_tokens=False).ids), len(t or ""))):
                 old[k] += x
-    got = {(r["source"], r["lang"]): [r["documents"], r["tokens"], r["chars"]] for r in counts.op6_counts(spark, folder(spark, tmp_path, rows)).collect()}
+    got = {(r["source"], r["lang"], r["version"]): [r["documents"], r["tokens"], r["chars"]] for r in counts.op6_counts(spark, folder(spark, tmp_path, rows)).collect()}
     assert got == want
     empty = tmp_path / "empty"
     empty.mkdir()
     assert counts.op6_counts(spark, folder(spark, empty, [])).count() == 0
 
 
+def event(spark, tokens, sign=1):
+    return spark.createDataFrame([("s", "en", "v", sign, tokens, 1)], "source string, lang string, version string, sign long, tokens long, chars long")
+
+
+def test_a_batch_that_is_committed_during_a_compaction_counts_once(spark, tmp_path, monkeypatch):
+    rollup, other = counts.Rollup(spark, f"{tmp_path}/r"), counts.Rollup(spark, f"{tmp_path}/r")
+    rollup.commit("a", event(spark, 5))
+    publish = counts.Rollup._publish
+
+    def slow(self, sums, name, names):
+        if name.startswith("until-"):
+            assert other.commit("b", event(spark, 6))
+        return publish(self, sums, name, names)
+
+    monkeypatch.setattr(counts.Rollup, "_publish", slow)
+    assert rollup.compact()
+    monkeypatch.undo()
+    assert totals(rollup) == [("s", "en", "v", 2, 11, 2)] and rollup.committed() == {"a", "b"}
+    assert rollup.compact() and totals(rollup) == [("s", "en", "v", 2, 11, 2)]
+
+
+def test_of_two_writers_of_a_batch_one_commits(spark, tmp_path, monkeypatch):
+    rollup, other = counts.Rollup(spark, f"{tmp_path}/r"), counts.Rollup(spark, f"{tmp_path}/r")
+    named = counts.Rollup._named
+
+    def late(self, folder, name):
+        monkeypatch.undo()
+        assert other.commit("a", event(spark, 6))
+        return named(self, folder, name)
+
+    monkeypatch.setattr(counts.Rollup, "_named", late)
+    assert not rollup.commit("a", event(spark, 5))
+    assert totals(rollup) == [("s", "en", "v", 1, 6, 1)]
+    assert not counts.Rollup(spark, f"{tmp_path}/r")._named("other", "batch-a") and totals(rollup) == [("s", "en", "v", 1, 6, 1)]
+
+
 def test_batches_commit_once(spark, tmp_path):
     c = counts.count_tokens(clashing(frame(spark, documents())), {"v": vocabulary()})
     rollup = counts.Rollup(spark, f"{tmp_path}/r")
