@@ -12,13 +12,18 @@ from ..sources.spread import spread
 
 #: Words as the contracts define them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch; a batch of very long documents must fit a Python worker.
-ARROW_ROWS = 1024
+#: Bounds of an Arrow batch, in rows and bytes; a text above the latter is a batch of its own.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts (a session setting)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound Arrow batches for long texts, by session settings where the user has set none.
+
+    They must hold until the lazy query has run, so they stay.
+    """
+    for name, value in ARROW.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

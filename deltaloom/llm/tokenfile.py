@@ -7,8 +7,9 @@ row groups by their metadata and a full scan reads stripes in parallel. A row ha
 file's number and its place there; positions in the whole token stream follow from
 the counts of the files before.
 
-Results for edge cases: a null or empty text is the end id alone; equal doc_ids are
-ordered by their text and a null doc_id comes first; no documents make a file without rows.
+Results for edge cases: a null or empty text is the end id alone, a text may be of any length; equal doc_ids are
+ordered by their text and a null doc_id comes first; repeated rows are written each time; no documents make
+a file without rows; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,15 @@ END_ID = 2
 SCHEMA = "doc_id long, part int, place int, ids array<int>"
 #: Rows of an index entry: a document has about a thousand ids.
 INDEX_ROWS = 1000
-STRIPE_BYTES = 64 << 20
+STRIPE_BYTES = 16 << 20
+#: Compressed input bytes for a file.
+FILE_BYTES = 32 << 20
+
+
+def file_count(docs: DataFrame) -> int:
+    """Files by the bytes of the input, one for each core at least."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
 
 
 def write_token_files(docs: DataFrame, to: str, path: str, end_id: int = END_ID, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -36,7 +45,7 @@ def write_token_files(docs: DataFrame, to: str, path: str, end_id: int = END_ID,
     docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tune(spark)
     spark.conf.set("spark.sql.orc.columnarWriterBatchSize", "256")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or file_count(docs)
     end = np.asarray([end_id], "<i4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

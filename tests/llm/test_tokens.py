@@ -151,3 +151,66 @@ def test_token_files_are_looked_up(spark, tmp_path):
     found = tokenfile.read_token_files(spark, f"{tmp_path}/t", [3, 9])
     assert {r["doc_id"] for r in found.collect()} == {3, 9}
     assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString()
+
+
+def rows_read(df):
+    """Rows that the scan of a collected query gave, by its own metrics."""
+    node, found = df._jdf.queryExecution().executedPlan(), []
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        if "AdaptiveSparkPlan" in n.nodeName():
+            n = n.executedPlan()
+        if n.nodeName().startswith("Scan"):
+            found.append(n.metrics().apply("numOutputRows").value())
+        todo += [n.children().apply(i) for i in range(n.children().size())]
+    return sum(found)
+
+
+def test_lookups_skip_row_groups_by_index_and_bloom_filter(spark, tmp_path):
+    """A lookup within the files' range of ids, of one that is there and of one that isn't; the footers tell the encoding and the filters."""
+    from pyarrow import orc
+
+    docs = spark.range(0, 40_000, 2).selectExpr("id AS doc_id", "concat('text of ', id) AS text")
+    tokenfile.write_token_files(docs, f"{tmp_path}/t", vocabulary(), files=4)
+    for ids, found in (([2000], 1), ([2001], 0), ([2000, 39_000], 2)):
+        df = tokenfile.read_token_files(spark, f"{tmp_path}/t", ids)
+        assert len(df.collect()) == found
+        assert rows_read(df) <= found * tokenfile.INDEX_ROWS, ids
+    parts = sorted((tmp_path / "t").glob("*.orc"))
+    files = [orc.ORCFile(p) for p in parts]
+    assert len(files) == 4 and sum(f.nrows for f in files) == 20_000
+    assert all(f.compression == "ZSTD" and f.row_index_stride == tokenfile.INDEX_ROWS and f.nstripes > 0 for f in files)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(str(parts[0]))
+    reader = spark._jvm.org.apache.orc.OrcFile.createReader(fs, spark._jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+    footer = reader.rows().readStripeFooter(reader.getStripes().get(0))
+    assert "BLOOM_FILTER_UTF8" in {str(footer.getStreams(i).getKind()) for i in range(footer.getStreamsCount())}
+    assert {str(footer.getColumns(i).getKind()) for i in range(footer.getColumnsCount())} <= {"DIRECT", "DIRECT_V2"}
+    assert "DIRECT_V2" in {str(footer.getColumns(i).getKind()) for i in range(footer.getColumnsCount())}
+
+
+def test_stripes_of_one_file_are_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfile, "STRIPE_BYTES", 256 << 10)
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 12), i -> hash(i, id))) AS text")
+    tokenfile.write_token_files(docs, f"{tmp_path}/t", vocabulary(), files=1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512k")
+    try:
+        rows = tokenfile.read_token_files(spark, f"{tmp_path}/t")
+        from pyspark.sql import functions as F
+
+        tasks = rows.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(tasks) > 2 and sum(r["count"] for r in tasks) == 40_000
+
+
+def test_very_long_texts(spark, tmp_path, byte_library, word_library):
+    """A text of several MB passes every operator of ids."""
+    rows = [(1, "some words and numbers 12 " * 120_000, "en", "s", 1), (2, "x" * 40_000, "en", "s", 1), (3, "short", "en", "s", 1)]
+    where = folder(spark, tmp_path, rows)
+    want = {i: len(byte_library.encode(t, add_special_tokens=False).ids) + 1 for i, t, *_ in rows}
+    assert {r["doc_id"]: r["n_tokens"] for r in tokenfile.op9_token_files(spark, where).collect()} == want
+    pieces = packing.op2_packing(spark, where).collect()
+    assert {i: sum(r["length"] for r in pieces if r["doc_id"] == i) for i in want} == want
+    got = {r["doc_id"]: r["n_tokens"] for r in bpe.op1_bpe(spark, where).collect()}
+    assert got == {i: len(word_library.encode(t, add_special_tokens=False).ids) for i, t, *_ in rows}
