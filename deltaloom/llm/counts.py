@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import file_system, pick, scratch_dir, spread, table, tune, written
+from .bpe import coder
 from .tokens import encoder, texts, vocabulary
 
 KEYS = ("source", "lang", "version")
@@ -130,6 +131,15 @@ class Rollup:
         return self._publish(self._sums([last] * bool(last) + [f"batch-{b}" for b in batches]).coalesce(1), f"until-{number:09d}", rows.coalesce(1))
 
 
+def token_counter(path: str) -> Callable[[str | None], int]:
+    """How many ids a text has: by cached pieces of byte-level vocabularies, by the automaton of word-level ones, else by the library."""
+    own = encoder(path)
+    if own.ordinary is None and getattr(own.tokenizer.model, "end_of_word_suffix", None):
+        encode = coder(path).encode_bytes
+        return lambda t: len(encode(t)) // 4
+    return lambda t: len(own.encode(t)) // 4
+
+
 def count_tokens(docs: DataFrame, versions: dict[str, str]) -> DataFrame:
     """(doc_id, source, lang, chars, n_<version>, stripped_<version>) for each row: ids of the text, and of it without outer white space."""
     docs = spread(pick(docs, doc_id="doc_id", text="text", source="source", lang="lang"))
@@ -137,13 +147,13 @@ def count_tokens(docs: DataFrame, versions: dict[str, str]) -> DataFrame:
     names = [f"{k}_{v}" for v in versions for k in ("n", "stripped")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = [encoder(p).encode for p in versions.values()]
+        counters = [token_counter(p) for p in versions.values()]
         for b in batches:
             own = texts(b.column(1))
             columns = [b.column(0), b.column(2), b.column(3), pa.array([len(t or "") for t in own], pa.int64())]
-            for encode in encoders:
-                whole = [len(encode(t)) // 4 for t in own]
-                columns += [pa.array(whole, pa.int64()), pa.array([n if not t or t == t.strip() else len(encode(t.strip())) // 4 for n, t in zip(whole, own, strict=True)], pa.int64())]
+            for count in counters:
+                whole = [count(t) for t in own]
+                columns += [pa.array(whole, pa.int64()), pa.array([n if not t or t == t.strip() else count(t.strip()) for n, t in zip(whole, own, strict=True)], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "lang", "chars", *names])
 
     key = docs.schema["doc_id"].dataType.simpleString()
