@@ -64,10 +64,26 @@ def summary(pairs: DataFrame) -> DataFrame:
     )
 
 
-def apply_same_offset(pairs: DataFrame) -> DataFrame:
-    """(pair_id, out): the target built from the source, diff bytes and the appended bytes."""
+def same_offset_plan(pairs: DataFrame) -> DataFrame:
+    """(pair_id, f, copied, literals, extra): a copy's length, its literals in order with their gaps (the first counts from 0), and what is appended."""
     n = common(pairs)
-    d = F.zip_with(F.slice(byte_values(F.col("f")), F.lit(1), n), F.slice(byte_values(F.col("t")), F.lit(1), n), lambda f, t: F.pmod(t - f, F.lit(256)))
-    made = F.zip_with(F.slice(byte_values(F.col("f")), F.lit(1), n), d, lambda f, x: F.pmod(f + x, F.lit(256)))
-    text = F.array_join(F.transform(made, lambda v: F.lpad(F.hex(v), 2, "0")), "")
-    return pairs.select("pair_id", "t", F.concat(F.unhex(text), F.substring(F.col("t"), n + 1, F.octet_length("t") - n)).alias("out"))
+    own = F.filter(positions(n), lambda i: F.substring(F.col("f"), i + 1, F.lit(1)) != F.substring(F.col("t"), i + 1, F.lit(1)))
+    before = F.slice(F.concat(F.array(F.lit(0)), F.col("own")), F.lit(1), F.size("own"))
+    literals = F.zip_with("own", before, lambda p, b: F.struct(p.alias("pos"), (p - b).alias("gap"), F.pmod(_byte("t", p) - _byte("f", p), F.lit(256)).alias("d")))
+    extra = F.substring(F.col("t"), n + 1, F.octet_length("t") - n)
+    return pairs.withColumn("own", own).select("pair_id", "f", n.alias("copied"), literals.alias("literals"), extra.alias("extra"))
+
+
+def _byte(image: str, at: Column) -> Column:
+    return F.conv(F.hex(F.substring(F.col(image), at + 1, F.lit(1))), 16, 10).cast("int")
+
+
+def apply_same_offset(plans: DataFrame) -> DataFrame:
+    """(pair_id, out): the image that a ``same_offset_plan`` makes of its source alone: untouched stretches, literals, extras."""
+    skip = lambda i: F.when(i > 0, 1).otherwise(0)  # noqa: E731  the literal before is written already
+    kept = lambda x, i: F.hex(F.substring(F.col("f"), x["pos"] - x["gap"] + skip(i) + 1, x["gap"] - skip(i)))
+    new = lambda x: F.lpad(F.hex(F.pmod(_byte("f", x["pos"]) + x["d"], F.lit(256))), 2, "0")
+    done = F.array_join(F.transform("literals", lambda x, i: F.concat(kept(x, i), new(x))), "")
+    last = F.coalesce(F.get("literals", F.size("literals") - 1)["pos"], F.lit(-1))
+    rest = F.hex(F.substring(F.col("f"), last + 2, F.col("copied") - last - 1))
+    return plans.select("pair_id", F.unhex(F.concat(done, rest, F.hex("extra"))).alias("out"))

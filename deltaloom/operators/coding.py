@@ -56,21 +56,22 @@ def adaptive_prob(rows: DataFrame, key: str, order: list[str], bit: str, rate: i
     return fold_sorted(rows, key, order, bit, lambda: (0, 2048), step, lambda s: s, "n long, p long")
 
 
-def recency_rank(rows: DataFrame, key: str, order: list[str], symbol: str, symbols: list[str], cap: int = RECENT_BRANCHES) -> DataFrame:
-    """``rows`` with rank: the symbol's place in a move-to-front list before this row, -1 if unseen.
+def recency_rank(rows: DataFrame, key: str, order: list[str], symbol: str, symbols: list[str], cap: int = RECENT_BRANCHES, seed: object = None) -> DataFrame:
+    """``rows`` with rank: the symbol's place in a move-to-front list before this row, -1 if it isn't there.
 
-    ``symbols`` are all that occur, at most ``cap``: each one's last place is a window maximum, and
-    the rank counts those after the symbol's own.
+    The list starts with ``seed`` (if any) and holds ``cap`` symbols; a new one drives the last out. So it holds
+    the ``cap`` that occurred last, and the rank is the number of others since the symbol's own last
+    place. ``symbols`` are all that occur: each one's last place is a window maximum.
     """
-    if len(symbols) > cap:
-        raise ValueError(f"{len(symbols)} symbols exceed the list's {cap} places")
     w = Window.partitionBy(key).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("r_at", F.row_number().over(w))
-    last = F.array(*[F.max(F.when(F.col(symbol) == s, F.col("r_at"))).over(before) for s in symbols])
+    places = [F.max(F.when(F.col(symbol) == s, F.col("r_at"))).over(before) for s in symbols]
+    last = F.array(*[F.coalesce(p, F.lit(0)) if s == seed else p for s, p in zip(symbols, places, strict=True)])
     placed = placed.withColumn("r_last", last)
     own = F.get(F.col("r_last"), F.array_position(F.array(*[F.lit(s) for s in symbols]), F.col(symbol)).cast("int") - 1)
-    rank = F.when(own.isNull(), -1).otherwise(F.size(F.filter("r_last", lambda x: x > own)))
+    place = F.size(F.filter("r_last", lambda x: x > own))
+    rank = F.when(own.isNull() | (place >= cap), -1).otherwise(place)
     return placed.withColumn("rank", rank.cast("long")).drop("r_at", "r_last")
 
 

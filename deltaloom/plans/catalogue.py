@@ -204,8 +204,9 @@ def span_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {I.PAIRS_SQL} SELECT pair_id, nt AS size, true AS whole FROM pairs")
 def apply_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = align.apply_same_offset(_pairs(spark, sf_dir))
-    return made.select("pair_id", F.octet_length("out").cast("long").alias("size"), (F.col("out") == F.col("t")).alias("whole"))
+    """Each pair's target made anew of its source and the plan alone, held against the target."""
+    made = align.apply_same_offset(align.same_offset_plan(_pairs(spark, sf_dir)))
+    return made.join(_pairs(spark, sf_dir).select("pair_id", "t"), "pair_id").select("pair_id", F.octet_length("out").cast("long").alias("size"), (F.col("out") == F.col("t")).alias("whole"))
 
 
 _RAW = I.imm_sql("f_up", "f_low")
@@ -353,9 +354,14 @@ def repeat_flag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {I.SYMBOLS_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM symbols), b AS (SELECT *, lag(i) OVER (PARTITION BY user_id, symbol ORDER BY i) AS p FROM a)
- SELECT event_id, user_id, event_type, CASE WHEN p IS NULL THEN -1 ELSE (SELECT count(DISTINCT x.symbol) FROM a x WHERE x.user_id = b.user_id AND x.i > b.p AND x.i < b.i) END AS rank FROM b""")
+, c AS (SELECT *, CASE WHEN symbol = 0 THEN coalesce(p, 0) ELSE p END AS q FROM b),
+ r AS (SELECT event_id, user_id, event_type, CASE WHEN q IS NULL THEN -1 ELSE (SELECT count(DISTINCT x.symbol) FROM a x WHERE x.user_id = c.user_id AND x.i > c.q AND x.i < c.i) END AS rank FROM c)
+ SELECT *, CASE WHEN rank >= 3 THEN -1 ELSE rank END AS rank_of_3 FROM r""")
 def mtf_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coding.recency_rank(I.user_symbols(spark, sf_dir), "user_id", ["ts", "event_id"], "event_type", I.SYMBOLS).select("event_id", "user_id", "event_type", "rank")
+    """Places in a recency list that starts with the most usual symbol, and in one of three places, which drives symbols out."""
+    how = ("user_id", ["ts", "event_id"], "event_type", I.SYMBOLS)
+    rows = coding.recency_rank(I.user_symbols(spark, sf_dir), *how, cap=3, seed=I.SYMBOLS[0]).withColumnRenamed("rank", "rank_of_3")
+    return coding.recency_rank(rows, *how, seed=I.SYMBOLS[0]).select("event_id", "user_id", "event_type", "rank", "rank_of_3")
 
 
 @query(f"""WITH {I.SYMBOLS_SQL}, a AS (SELECT *, 2 * lag(bit, 2, 0) OVER w + lag(bit, 1, 0) OVER w AS context FROM symbols WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))

@@ -10,15 +10,18 @@ from .spread import spread
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(image_id, content, size) of whole files; larger ones than the format allows are left out."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_IMAGE)
-    read = files.select(F.col("path").alias("image_id"), "content", F.col("length").alias("size"))
+    """(image_id, content, size, status) of whole files; one larger than the format allows is refused: RESOURCE, without its content."""
+    files = spark.read.format("binaryFile").load(path)
+    read = files.where(F.col("length") <= MAX_IMAGE).select(F.col("path").alias("image_id"), "content", F.col("length").alias("size"), F.lit("NONE").alias("status"))
+    # a second scan that doesn't ask for the content: the reader then doesn't load it
+    refused = files.where(F.col("length") > MAX_IMAGE).select(F.col("path").alias("image_id"), F.lit(None).cast("binary").alias("content"), F.col("length").alias("size"), F.lit("RESOURCE").alias("status"))
+    read = read.unionByName(refused)
     # the reader leaves out empty files, which are images as well
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     listed = [s for top in fs.globStatus(p) or [] for s in (fs.listStatus(top.getPath()) if top.isDirectory() else [top])]
-    empty = [(s.getPath().toString(), bytearray(), 0) for s in listed if s.isFile() and s.getLen() == 0 and s.getPath().getName()[0] not in "._"]
-    return read.unionByName(spark.createDataFrame(empty, "image_id string, content binary, size long")) if empty else read
+    empty = [(s.getPath().toString(), bytearray(), 0, "NONE") for s in listed if s.isFile() and s.getLen() == 0 and s.getPath().getName()[0] not in "._"]
+    return read.unionByName(spark.createDataFrame(empty, "image_id string, content binary, size long, status string")) if empty else read
 
 
 def text_images(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:

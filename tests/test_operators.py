@@ -35,7 +35,7 @@ def test_runs_gaps_and_apply(spark):
         for r in align.literal_gaps(df, forward).orderBy("lit_no").collect():
             (gaps if forward else back).setdefault(r["pair_id"], []).append((r["pos"], r["gap"], r["d"]))
     values = {r["pair_id"]: r["d"] for r in align.diff_values(df).collect()}
-    made = {r["pair_id"]: bytes(r["out"]) for r in align.apply_same_offset(df).collect()}
+    made = {r["pair_id"]: bytes(r["out"]) for r in align.apply_same_offset(align.same_offset_plan(df)).collect()}
     for i, f, t in rows:
         n = min(len(f), len(t))
         d = [(t[k] - f[k]) % 256 for k in range(n)]
@@ -91,8 +91,13 @@ def test_fold_of_bits_and_ranks(spark):
         known.insert(0, s)
     assert {r["u"]: (r["n"], r["p"]) for r in coding.adaptive_prob(df, "u", ["i"], "b").collect()} == probs
     assert {r["i"]: r["rank"] for r in coding.recency_rank(df, "u", ["i"], "s", list("abcd")).collect()} == ranks
-    with pytest.raises(ValueError):
-        coding.recency_rank(df, "u", ["i"], "s", list("abcd"), cap=3)
+    for cap in (1, 2, 3):
+        lists, ranks = {}, {}
+        for u, i, s, _ in rows:
+            known = lists.setdefault(u, ["c"])
+            ranks[i] = known.index(s) if s in known else -1
+            known[:] = [s, *[k for k in known if k != s]][:cap]
+        assert {r["i"]: r["rank"] for r in coding.recency_rank(df, "u", ["i"], "s", list("abcd"), cap=cap, seed="c").collect()} == ranks
 
 
 def test_averages_and_feasible_maps(spark):
@@ -135,11 +140,13 @@ def test_page_gate_and_overlay(spark):
     assert pages.canary_mismatches(before, after, ["pos"]).first()["mismatches"] == 1
 
 
-def test_images(spark, tmp_path):
+def test_images(spark, tmp_path, monkeypatch):
     (tmp_path / "a.bin").write_bytes(bytes(range(256)))
     (tmp_path / "b.bin").write_bytes(b"")
     read = images.read_images(spark, str(tmp_path))
-    assert sorted(r["size"] for r in read.collect()) == [0, 256]
+    assert sorted((r["size"], r["status"]) for r in read.collect()) == [(0, "NONE"), (256, "NONE")]
+    monkeypatch.setattr(images, "MAX_IMAGE", 255)
+    assert sorted((r["size"], r["status"], r["content"] is None) for r in images.read_images(spark, str(tmp_path)).collect()) == [(0, "NONE", False), (256, "RESOURCE", True)]
     rows = images.exploded(read.select("image_id", "content")).orderBy("pos").collect()
     assert [r["v"] for r in rows] == list(range(256))
     r, want = 1, []
