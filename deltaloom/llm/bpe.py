@@ -20,7 +20,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,8 +38,6 @@ CACHE_WORDS = 300_000
 CACHE_CHARS = 64
 #: Looked-up arcs that a worker keeps.
 CACHE_ARCS = 2_000_000
-#: White space at which text is cut into chunks; other white space is left to the pre-splitter.
-_GAPS = re.compile("[ \t\n\r\x0b\x0c]+")
 #: Characters below this have no canonical compositions, and lower case one by one.
 _PLAIN_BELOW = 0x130
 
@@ -118,6 +116,21 @@ class MergeAutomaton:
         return self.target[token] >= 0
 
 
+class _Chunks(dict):
+    """Ids of chunks of UTF-8 text, as int32 bytes, kept up to a bound."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.encode(chunk.decode())
+        if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CACHE_CHUNKS:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class BpeCoder:
     """Encodes and decodes as the vocabulary file says (word-end BPE over byte characters)."""
 
@@ -155,7 +168,7 @@ class BpeCoder:
         self.plain = _plain_split() if spec.get("pre_tokenizer") == WORD_PRE_TOKENIZER and spec.get("normalizer") == WORD_NORMALIZER else None
         self.bytes_as = [c for _, c in sorted(byte_chars().items())]
         self.above = re.compile(f"[^\x00-{chr(_PLAIN_BELOW - 1)}]")
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = _Chunks(self._chunk)
         self.words: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
@@ -197,29 +210,14 @@ class BpeCoder:
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        if self.split_specials and "<" in chunk:
-            ids = b""
-            for part in self.split_specials.split(chunk):
-                ids += array("i", [self.specials[part]]).tobytes() if part in self.specials else self._words(part)
-        else:
-            ids = self._words(chunk)
-        if len(chunk) <= CACHE_CHARS:
-            if len(self.chunks) >= CACHE_CHUNKS:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
-        return ids
+        if not self.split_specials or "<" not in chunk:
+            return self._words(chunk)
+        parts = self.split_specials.split(chunk)
+        return b"".join([array("i", [self.specials[p]]).tobytes() if p in self.specials else self._words(p) for p in parts])
 
     def encode_bytes(self, text: str | None) -> bytes:
-        """Ids as little-endian int32 bytes."""
-        if not text:
-            return b""
-        known, chunk = self.chunks, self._chunk
-        out = []
-        for c in _GAPS.split(text):
-            if c:
-                ids = known.get(c)
-                out.append(chunk(c) if ids is None else ids)
-        return b"".join(out)
+        """Ids as little-endian int32 bytes; text is cut at ASCII white space, other is left to the pre-splitter."""
+        return b"".join(map(self.chunks.__getitem__, text.encode().split())) if text else b""
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<i4").tolist()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +36,21 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Pieces(dict):
+    """Ids of pieces, as int32 bytes, kept up to a bound."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.asarray(self.encode(piece), "<i4").tobytes()
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """Ids as the tokenizers library gives them with add_special_tokens=False, as little-endian int32 bytes."""
 
@@ -47,8 +62,8 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
         self.ordinary = self._ordinary(path)
+        self.pieces = _Pieces(self.ordinary)
 
     def _ordinary(self, path: str):
         """A faster encoder of one piece, by the same ranks; the library's own where there is none."""
@@ -76,21 +91,12 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
-    def piece(self, piece: str) -> bytes:
-        ids = np.asarray(self.ordinary(piece), "<i4").tobytes()
-        if len(piece) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_PIECES:
-                self.cache.clear()
-            self.cache[piece] = ids
-        return ids
-
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.ordinary is None or _ODD.search(text) or any(s in text for s in self.special):
             return self.whole(text)
-        get, piece = self.cache.get, self.piece
-        return b"".join([get(p) or piece(p) for p in _PIECE.findall(text)])
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
 
 
 def byte_chars() -> dict[int, str]:
