@@ -5,7 +5,8 @@ starts as one state with a loop for each base symbol. The gadget of a merge (u,
 takes the state p that u leads to; where p has an arc v, p is copied without that arc,
 u is led to the copy, and each state with an arc u gets an arc w to where v leads. All arcs
 of a token lead to one state, so a state is kept as (what it was copied from, the arc it
-lost, when it was made) and an arc is looked up along that chain; looked-up arcs are kept
+lost, when it was made) and an arc is looked up along that chain; a token's copies follow
+each other, so one search by time passes all of them. Looked-up arcs are kept
 in a transition table. A word's tokenization is the only path whose labels spell it, and
 so is each prefix's: the encoder goes over the word once and keeps, for each position, the
 one token by which the automaton gets there. Decoding emits the labels of the arcs.
@@ -20,6 +21,7 @@ import json
 import re
 import unicodedata
 from array import array
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -62,6 +64,16 @@ def _plain_split() -> re.Pattern:
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t-\r \x85\xa0{letters}{numbers}]+")
 
 
+class _Chain:
+    """The copies made for one token, each of the one before; the first is a copy of ``parent``."""
+
+    def __init__(self, owner: int, parent: int):
+        self.owner, self.parent = owner, parent
+        self.states: list[int] = []
+        self.born: list[int] = []
+        self.lost: dict[int, int] = {}  # the place of the copy that lost a token's arc
+
+
 class MergeAutomaton:
     """The deterministic automaton of ordered merges over integer tokens."""
 
@@ -69,7 +81,8 @@ class MergeAutomaton:
         never = len(merges) + 1
         self.left, self.time = [0] * size, [never] * size
         self.target = [-1] * size
-        self.parent, self.lost, self.born = [0], [-1], [0]
+        self.chain, self.place = [-1], [0]
+        self.chains: list[_Chain] = []
         for t in base:
             self.time[t] = 0
             self.target[t] = 0
@@ -84,23 +97,31 @@ class MergeAutomaton:
             return
         self.left[w], self.time[w] = u, now
         self.target[w] = self.target[v]
-        self.parent.append(p)
-        self.lost.append(v)
-        self.born.append(now)
-        self.target[u] = len(self.parent) - 1
+        state, c = len(self.chain), self.chain[p]
+        if not p or self.chains[c].owner != u:
+            c = len(self.chains)
+            self.chains.append(_Chain(u, p))
+        own = self.chains[c]
+        self.chain.append(c)
+        self.place.append(len(own.states))
+        own.lost[v] = len(own.states)
+        own.states.append(state)
+        own.born.append(now)
+        self.target[u] = state
 
     def has_arc(self, state: int, token: int) -> bool:
-        """Whether ``state`` has an arc for ``token``: the younger of the two is traced back until it is settled."""
-        time, born = self.time, self.born
-        while True:
-            if time[token] and time[token] >= born[state]:
-                token = self.left[token]
-            elif state == 0:
-                return True
-            elif self.lost[state] == token:
+        """Whether ``state`` has an arc for ``token``: the younger of the two is traced back, a chain at a time, until it is settled."""
+        while state:
+            own, place = self.chains[self.chain[state]], self.place[state]
+            lost = own.lost.get(token)
+            if lost is not None and lost <= place:
                 return False
+            before = bisect_right(own.born, self.time[token], 0, place + 1)
+            if before:
+                state, token = own.states[before - 1], self.left[token]
             else:
-                state = self.parent[state]
+                state = own.parent
+        return True
 
     def follows(self, before: int, token: int) -> bool:
         """Whether ``token`` may follow ``before``, by the transition table."""
