@@ -83,3 +83,19 @@ def test_smoothing_equals_brute_force(spark):
     for g, ratio in got.items():
         assert abs(ratio - math.log(p(g, 0, 3) / p(g, 1, 3))) < 1e-9
     assert got.keys() == counts.keys()
+
+
+def test_nulls_and_clashing_columns(spark):
+    rows = [(None, "http://a.net/x"), (1, None), (None, None), (2, "http://b.org/fr/"), (2, "http://b.org/fr/"), (3, "http://c.com/" + "long/" * 400)]
+    plain = spark.createDataFrame(rows, "page_id long, url string")
+    more = plain
+    for c in ("host", "path", "rule", "label", "s", "gram", "copies", "score", "verdict", "ratio"):
+        more = more.selectExpr("*", f"'x' AS {c}")
+    got = [sorted(map(tuple, urls.judge_urls(df).collect()), key=str) for df in (plain, more)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    assert sorted((r[0] or 0, r[3] or "") for r in got[0]) == sorted((i or 0, brute(u)[2] or "") for i, u in rows)
+
+
+def test_no_python_worker_on_the_main_path(spark, tmp_path):
+    plan = urls.op7_urls(spark, folder(spark, tmp_path, pages(60)))._jdf.queryExecution().toString()
+    assert not any(name in plan for name in ("Python", "Arrow", "Pandas", "RDDScan"))
