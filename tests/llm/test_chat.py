@@ -112,3 +112,13 @@ def test_one_long_conversation(spark):
     read = [(t, k) for w in windows for k, t in enumerate(chat.read_turns(w["text"])) if k >= w["repeated"]]
     assert [t for t, _ in read] == [(r, t) for _, _, r, t in rows]
     assert all(w["text"].startswith("### system: be brief") for w in windows) and all(w["n_tokens"] <= 2048 for w in windows[:-1])
+
+
+def test_nulls_and_clashing_columns(spark):
+    rows = [(None, None, None, None), (None, 1, "assistant", "a"), (1, None, "user", "q"), (1, None, "assistant", "b"), (1, 2, "assistant", "word " * 400_000)]
+    plain, more = frame(spark, rows), frame(spark, rows)
+    for c in ("row", "window", "place", "repeated", "n_tokens", "loss", "tie", "turns"):
+        more = more.withColumn(c, F.lit("x"))
+    got = [sorted(map(tuple, chat.read_back(chat.format_windows(df, vocabulary())).collect()), key=str) for df in (plain, more)]
+    assert got[0] == got[1]
+    assert {(r[0], r[1], r[3]) for r in got[0]} == {(None, 2, 1), (1, 3, 1 + 2_000_000)}
