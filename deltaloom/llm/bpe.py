@@ -152,6 +152,21 @@ class _Chunks(dict):
         return ids
 
 
+class Lengths(dict):
+    """How many ids a word or piece has, kept up to a bound."""
+
+    def __init__(self, count: Callable[[str | bytes], int]):
+        self.count = count
+
+    def __missing__(self, piece: str | bytes) -> int:
+        n = self.count(piece)
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_CHUNKS:
+                self.clear()
+            self[piece] = n
+        return n
+
+
 class BpeCoder:
     """Encodes and decodes as the vocabulary file says (word-end BPE over byte characters)."""
 
@@ -191,6 +206,8 @@ class BpeCoder:
         self.above = re.compile(f"[^\x00-{chr(_PLAIN_BELOW - 1)}]")
         self.chunks = _Chunks(self._chunk)
         self.words: dict[str, bytes] = {}
+        self.lengths = Lengths(lambda word: len(self._plain_ids(word)) // 4)
+        self.chunk_lengths = Lengths(self._chunk_count)
 
     def word(self, word: str) -> bytes:
         """Ids, as int32 bytes, of a pre-split word of byte characters: one pass, one token kept for each position."""
@@ -222,8 +239,11 @@ class BpeCoder:
         known, word = self.words, self._plain_word
         return b"".join([known.get(w) or word(w) for w in found])
 
+    def _plain_ids(self, word: str) -> bytes:
+        return self.word(word if word.isascii() and word.isalnum() else "".join([self.bytes_as[b] for b in word.encode()]))
+
     def _plain_word(self, word: str) -> bytes:
-        ids = self.word(word if word.isascii() and word.isalnum() else "".join([self.bytes_as[b] for b in word.encode()]))
+        ids = self._plain_ids(word)
         if len(word) <= CACHE_CHARS:
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
@@ -240,6 +260,16 @@ class BpeCoder:
         """Ids as little-endian int32 bytes; text is cut at ASCII white space, other is left to the pre-splitter."""
         return b"".join(map(self.chunks.__getitem__, text.encode().split())) if text else b""
 
+    def _chunk_count(self, chunk: bytes) -> int:
+        text = chunk.decode()
+        if self.plain is None or self.split_specials and "<" in text or self.above.search(text):
+            return len(self._chunk(text)) // 4
+        return sum(map(self.lengths.__getitem__, self.plain.findall(text.lower())))
+
+    def count(self, text: str | None) -> int:
+        """How many ids a text has, by lengths of its chunks and words."""
+        return sum(map(self.chunk_lengths.__getitem__, text.encode().split())) if text else 0
+
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
 

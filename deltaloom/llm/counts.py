@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import file_system, pick, scratch_dir, spread, table, tune, written
-from .bpe import coder
-from .tokens import encoder, texts, vocabulary
+from .bpe import Lengths, coder
+from .tokens import PIECE, encoder, texts, vocabulary
 
 KEYS = ("source", "lang", "version")
 SUMS = ("documents", "tokens", "chars")
@@ -135,9 +135,9 @@ def token_counter(path: str) -> Callable[[str | None], int]:
     """How many ids a text has: by cached pieces of byte-level vocabularies, by the automaton of word-level ones, else by the library."""
     own = encoder(path)
     if own.ordinary is None and getattr(own.tokenizer.model, "end_of_word_suffix", None):
-        encode = coder(path).encode_bytes
-        return lambda t: len(encode(t)) // 4
-    return lambda t: len(own.encode(t)) // 4
+        return coder(path).count
+    lengths = Lengths(lambda piece: len(own.ordinary(piece)))
+    return lambda t: sum(map(lengths.__getitem__, PIECE.findall(t))) if t and own.cuts(t) else len(own.encode(t)) // 4
 
 
 def count_tokens(docs: DataFrame, versions: dict[str, str]) -> DataFrame:

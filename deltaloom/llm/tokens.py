@@ -22,7 +22,7 @@ CACHE_PIECES = 600_000
 #: Longer pieces aren't kept.
 CACHE_CHARS = 64
 
-_PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Python counts these as white space, the tokenizers' pattern doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -91,12 +91,16 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
+    def cuts(self, text: str) -> bool:
+        """Whether a text may be cut into pieces."""
+        return not (self.ordinary is None or _ODD.search(text) or any(s in text for s in self.special))
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.ordinary is None or _ODD.search(text) or any(s in text for s in self.special):
+        if not self.cuts(text):
             return self.whole(text)
-        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
+        return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
 
 
 def byte_chars() -> dict[int, str]:

@@ -74,3 +74,17 @@ def test_batches_commit_once(spark, tmp_path):
     assert rollup.commit("b", counts.deletes(c, "v")) and totals(rollup) == []
     rollup.compact()
     assert totals(rollup) == [] and rollup.committed() == {"a", "b"}
+
+
+def test_counters_agree_with_the_library_and_keep_lengths_only():
+    texts = [None, "", " ", "a", "It's  don't've\n\nx\t y ", "caf\u00e9\u00a0na\u00efve \u00c0\u00c9", "e\u0301 \u65e5\u672c\u8a9e \u0130", "a<s>b </s> <", "\x1c x\x1f", "7 42 x" * 50, "long" * 3000, *[r[1] for r in documents()]]
+    for version in ("byte_bpe_50k", "word_bpe_49k"):
+        path = vocabulary(f"{version}.json")
+        library, count = Tokenizer.from_file(path), counts.token_counter(path)
+        for _ in range(2):
+            assert [count(t) for t in texts] == [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    plain = counts.coder(path)
+    plain.words.clear()
+    plain.chunks.clear()
+    assert count("several newish words here") == 4 + len(plain.encode("newish")) - 1
+    assert len(plain.words) <= 1 and len(plain.chunks) <= 1
